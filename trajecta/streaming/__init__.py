@@ -1,0 +1 @@
+"""Empty on purpose: the workload is batch only (no source, window or state is a stream)."""
