@@ -9,6 +9,7 @@ from trajecta.functions.constants import WITNESSES
 
 @dataclass(frozen=True)
 class Settings:
+    first_period: int = 1900
     vintage: int = 2025
     threshold: int = 2000
     groups: int = 5
