@@ -12,12 +12,34 @@ from pyspark.sql import functions as F
 _TO_END = 2**31 - 1
 
 
+@cache
+def _single_capitals() -> tuple[str, str]:
+    """(from, to) for letters whose full capital is several letters but that have a single one."""
+    pairs = [("ß", "ẞ")]
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if len(char.upper()) > 1 and len(char.title()) == 1:
+            pairs.append((char, char.title()))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def capital(letter: Column) -> Column:
+    """One capital for one letter: ``ß`` becomes ``ẞ`` and not ``SS``, ``ﬁ`` stays."""
+    full = F.upper(letter)
+    return F.when(F.length(full) <= 1, full).otherwise(F.translate(letter, *_single_capitals()))
+
+
+def lower(text: Column) -> Column:
+    """One small letter for one capital: ``İ`` and a final ``Σ`` have context rules in Java."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
 def title_case(name: Column) -> Column:
     """``JEAN-PIERRE`` to ``Jean-Pierre``; empty segments (``A--B``) survive."""
     capitalised = F.transform(
         F.split(name, "-", -1),
         lambda part: F.concat(
-            F.upper(F.substring(part, 1, 1)), F.lower(F.substring(part, 2, _TO_END))
+            capital(F.substring(part, 1, 1)), lower(F.substring(part, 2, _TO_END))
         ),
     )
     return F.array_join(capitalised, "-")
@@ -59,12 +81,12 @@ def strip_accents(text: Column) -> Column:
 
 def search_key(name: Column) -> Column:
     """Accent-free lower case, the form a person types in a search box."""
-    return F.lower(strip_accents(name))
+    return lower(strip_accents(name))
 
 
 def is_search_key(text: Column) -> Column:
     """True where ``text`` is already accent-free and lower case."""
-    return (F.lower(text) == text) & (strip_accents(text) == text)
+    return (lower(text) == text) & (strip_accents(text) == text)
 
 
 def group_suffix(grp: Column, first: object = 1, letters: tuple[str, str] = ("M", "F")) -> Column:
