@@ -7,22 +7,24 @@ touched by projections.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions.numbers import ratio
 from trajecta.session import materialise
 
+# Tasks get the functions of this module with the closure: it need not be installed there.
+register_pickle_by_value(sys.modules[__name__])
+
 FEATURES = ("peak_period", "strong_width")
 
 
@@ -78,36 +80,156 @@ def standardise(df: DataFrame, scale: Scale) -> DataFrame:
     return df.withColumns({f"z_{c}": z for c, z in zip(scale.features, scale.columns())})
 
 
-def fit_archetypes(
-    points: DataFrame,
-    scale: Scale,
-    groups: int = 5,
-    restarts: int = 20,
-    seed: int = 0,
-    parallelism: int = 8,
-) -> Archetypes:
-    """Weighted k-means, the cheapest of ``restarts`` starts, groups numbered by epoch."""
-    vectors = (
-        VectorAssembler(inputCols=[f"z_{c}" for c in scale.features], outputCol="features")
-        .transform(standardise(points, scale))
-        .select("features", F.col("weight").cast("double").alias("weight"))
-        .persist()
+def _uniform(points: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Repeatable uniforms in (0, 1) per (point hash, salt), the same on any executor."""
+    with np.errstate(over="ignore"):
+        mixed = points.astype(np.uint64)[:, None] ^ salts[None, :]
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+    return ((mixed >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _squared(here: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, shaped (points, runs, centres)."""
+    return ((here[:, None, None, :] - centres[None, :, :, :]) ** 2).sum(axis=3)
+
+
+def _next_centres(points: DataFrame, axes: list[str], runs: dict[int, np.ndarray], step: int,
+                  seed: int) -> dict[int, np.ndarray]:
+    """One more starting centre for each run: a point drawn with odds weight × distance².
+
+    Each task keeps its best candidate per run (smallest −ln u / odds); the smallest of
+    those wins, which is a weighted draw without looking at all points in one place.
+    """
+    shared = points.sparkSession.sparkContext.broadcast(runs)
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for draw, part in batch.groupby("draw"):
+                centres = shared.value[draw]
+                here = part[axes].to_numpy(float)
+                odds = part["weight"].to_numpy(float)[:, None]
+                if step:
+                    odds = odds * _squared(here, centres).min(axis=2)
+                entropy = np.random.SeedSequence([seed, int(draw), step])
+                salts = entropy.generate_state(len(centres), np.uint64)
+                with np.errstate(divide="ignore"):
+                    keys = -np.log(_uniform(part["point"].to_numpy(), salts)) / odds
+                best = keys.argmin(axis=0)
+                chosen = pd.DataFrame(here[best], columns=axes)
+                yield chosen.assign(draw=draw, run=range(len(best)), odds=keys.min(axis=0))[
+                    ["draw", "run", "odds", *axes]
+                ]
+
+    fields = ", ".join(f"{a} double" for a in axes)
+    best = (
+        points.mapInPandas(candidates, f"draw int, run int, odds double, {fields}")
+        .groupBy("draw", "run")
+        .agg(F.min_by(F.array(*axes), F.struct("odds", *axes)).alias("centre"))
+        .collect()
     )
-    vectors.count()
+    grown = {}
+    for draw, centres in runs.items():
+        added = np.array([r["centre"] for r in sorted(best) if r["draw"] == draw])
+        grown[draw] = np.concatenate([centres, added[:, None, :]], axis=1)
+    return grown
 
-    def one(start: int) -> tuple[float, list[tuple[float, ...]]]:
-        model = KMeans(k=groups, seed=start, maxIter=300, weightCol="weight").fit(vectors)
-        centres = sorted(tuple(map(float, c)) for c in model.clusterCenters())
-        return model.summary.trainingCost, centres
 
+def _cluster_sums(points: DataFrame, axes: list[str],
+                  runs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Per run and centre: weight, weighted coordinate sums and squared cost of its points."""
+    shared = points.sparkSession.sparkContext.broadcast(runs)
+    values = ["weight", *axes, "cost"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for draw, part in batch.groupby("draw"):
+                centres = shared.value.get(draw)
+                if centres is None:
+                    continue
+                here, weight = part[axes].to_numpy(float), part["weight"].to_numpy(float)
+                squared = _squared(here, centres)
+                near = squared.argmin(axis=2)
+                count, k = centres.shape[:2]
+                slot = (near + np.arange(count)[None, :] * k).ravel()
+
+                def total(amount: np.ndarray) -> np.ndarray:
+                    return np.bincount(slot, np.repeat(amount, count), count * k)
+
+                out = pd.DataFrame({"draw": draw, "slot": np.arange(count * k)})
+                out["weight"] = total(weight)
+                for i, axis in enumerate(axes):
+                    out[axis] = total(weight * here[:, i])
+                least = squared.min(axis=2) * weight[:, None]
+                out["cost"] = np.bincount(slot, least.ravel(), count * k)
+                yield out
+
+    fields = ", ".join(f"{v} double" for v in values)
+    rows = (
+        points.mapInPandas(sums, f"draw int, slot int, {fields}")
+        .groupBy("draw", "slot")
+        .agg(*[F.sum(v).alias(v) for v in values])
+        .collect()
+    )
+    result = {d: np.zeros((c.shape[0] * c.shape[1], len(values))) for d, c in runs.items()}
+    for row in rows:
+        result[row["draw"]][row["slot"]] = [row[v] for v in values]
+    return {d: result[d].reshape(*c.shape[:2], len(values)) for d, c in runs.items()}
+
+
+def fit_many(points: DataFrame, scale: Scale, groups: int, restarts: int, seed: int,
+             max_passes: int = 300) -> dict[int, Archetypes]:
+    """Weighted k-means on every ``draw`` of ``points``, the cheapest of ``restarts`` runs each.
+
+    All runs of all draws advance together, so the data is read once per iteration and not
+    once per iteration of every run: 20 draws × 20 starts take as many passes as one fit.
+    Only centres (draws × restarts × groups rows) come back to the driver.
+    """
+    axes = [f"z_{c}" for c in scale.features]
+    prepared = standardise(points, scale).select(
+        "draw", *axes, "weight", F.xxhash64(*scale.features).alias("point")
+    )
+    draws = {r["draw"]: r["n"] for r in prepared.groupBy("draw").agg(F.count("*").alias("n")).collect()}
+    # A task handles a few million distances, however many points there are.
+    tasks = max(1, ceil(sum(draws.values()) * restarts * groups / 4_000_000))
+    prepared = prepared.repartition(tasks, "point", "draw").persist()
+    # Stop when the centres of a run together move by less than 0.01 standard deviations.
+    tolerance = 0.01
     try:
-        # Each start is a series of short jobs; running them side by side fills the gaps.
-        with ThreadPool(min(parallelism, restarts)) as pool:
-            fits = pool.map(one, [seed + i for i in range(restarts)])
+        runs = {d: np.empty((restarts, 0, len(axes))) for d in draws}
+        for step in range(groups):
+            runs = _next_centres(prepared, axes, runs, step, seed)
+        costs = {d: np.full(restarts, np.inf) for d in draws}
+        active = {d: np.arange(restarts) for d in draws}
+        for _ in range(max_passes):
+            measured = _cluster_sums(prepared, axes, {d: runs[d][a] for d, a in active.items()})
+            for draw, found in measured.items():
+                at = active[draw]
+                weight = found[:, :, :1]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    moved = np.where(weight > 0, found[:, :, 1:-1] / weight, runs[draw][at])
+                shift = np.sqrt(((moved - runs[draw][at]) ** 2).sum(axis=(1, 2)))
+                runs[draw][at] = moved
+                costs[draw][at] = found[:, :, -1].sum(axis=1)
+                active[draw] = at[shift > tolerance]
+            active = {d: a for d, a in active.items() if len(a)}
+            if not active:
+                break
     finally:
-        vectors.unpersist()
-    cost, centres = min(fits)
-    return Archetypes(scale, tuple(centres), cost)
+        prepared.unpersist()
+    models = {}
+    for draw in draws:
+        best = int(costs[draw].argmin())
+        centres = sorted(tuple(float(v) for v in centre) for centre in runs[draw][best])
+        models[draw] = Archetypes(scale, tuple(centres), float(costs[draw][best]))
+    return models
+
+
+def fit_archetypes(points: DataFrame, scale: Scale, groups: int = 5, restarts: int = 20,
+                   seed: int = 0) -> Archetypes:
+    """The cheapest of ``restarts`` weighted k-means fits, groups numbered by epoch."""
+    return fit_many(points.withColumn("draw", F.lit(0)), scale, groups, restarts, seed)[0]
 
 
 def _nearest(z: Sequence[Column], centres: Sequence[Sequence[float]]) -> Column:
@@ -272,10 +394,8 @@ def stability_by_draw(
     drawn = materialise(
         sample.groupBy("draw", *features).agg(F.count("*").alias("weight")), "draws"
     )
-    refits = []
-    for draw in range(1, draws + 1):
-        points = drawn.filter(F.col("draw") == draw)
-        refits.append(fit_archetypes(points, model.scale, len(model.centres), restarts, seed).centres)
+    fits = fit_many(drawn, model.scale, len(model.centres), restarts, seed)
+    refits = [fits[draw].centres for draw in range(1, draws + 1)]
     labelled = assign(drawn, model).withColumnRenamed("archetype", "reference")
     z = model.scale.columns()
     # The draw number picks its own refit; draws and groups are run parameters, not data.

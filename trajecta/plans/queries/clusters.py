@@ -140,12 +140,24 @@ def stability_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "archetype_dim",
-    """SELECT * FROM (VALUES (0, 'Non classé', false), (1, 'Groupe 1', true), (2, 'Groupe 2', true),
-                          (3, 'Groupe 3', true), (4, 'Groupe 4', true), (5, 'Groupe 5', true))
-       AS t(archetype, label, classified)""",
+    f"""WITH {ASSIGNED},
+    dim(archetype, label, classified) AS (
+      VALUES (0, 'Non classé', false), (1, 'Groupe 1', true), (2, 'Groupe 2', true),
+             (3, 'Groupe 3', true), (4, 'Groupe 4', true), (5, 'Groupe 5', true)),
+    bridge AS (
+      SELECT DISTINCT f.entity, f.grp, COALESCE(a.archetype, 0) AS archetype
+      FROM fact f LEFT JOIN assigned a ON a.entity = f.entity AND a.grp = f.grp)
+    SELECT archetype, label, classified, COUNT(b.entity) AS members
+    FROM dim LEFT JOIN bridge b USING (archetype) GROUP BY 1, 2, 3""",
 )
-def _archetype_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archetypes.archetype_dim(spark, LABELS)
+def archetype_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled groups and how many entities each one holds."""
+    members = _bridge(spark, sf_dir).groupBy("archetype").agg(F.count("*").alias("members"))
+    return (
+        archetypes.archetype_dim(spark, LABELS)
+        .join(members, "archetype", "left")
+        .withColumn("members", F.coalesce("members", F.lit(0).cast("long")))
+    )
 
 
 @registered(

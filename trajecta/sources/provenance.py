@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Tasks get the functions of this module with the closure: it need not be installed there.
+register_pickle_by_value(sys.modules[__name__])
+
 MANIFEST = (
     "sources array<struct<nom:string,millesime:int,url:string,fichier:string,"
     "octets:bigint,sha256:string,date_telechargement:string>>"
