@@ -299,6 +299,8 @@ def check_sources(spark: SparkSession, manifest_path: str, **paths: str) -> None
     manifest = read_manifest(spark, manifest_path)
     for name, path in paths.items():
         found = fingerprints(spark, path).withColumn("nom", F.lit(name))
+        if found.isEmpty():
+            raise FileNotFoundError(f"{name}: no content under {path}")
         require_provenance(provenance_status(found, manifest))
 
 

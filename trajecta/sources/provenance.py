@@ -45,7 +45,8 @@ def fingerprints(spark: SparkSession, path: str, limit: int = WHOLE_FILE_LIMIT)
     """Path, name, size, SHA-256 and modification time of every file under ``path``.
 
     Files are spread over the tasks.  The size filter reaches the reader, which then never
-    opens the content of a file that is too big for one value.
+    opens the content of a file that is too big for one value.  Empty files are not listed:
+    Spark's file sources skip them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     base = ["path", "length", "modificationTime"]
@@ -101,14 +102,23 @@ def manifest_changes(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def provenance_status(found: DataFrame, manifest: DataFrame, key: str = "nom") -> DataFrame:
-    """``match``, ``mismatch``, or ``unknown`` where the manifest does not know the source."""
-    expected = manifest.select(key, F.col("sha256").alias("expected"))
+    """``match``, ``mismatch``, or ``unknown`` where the manifest does not know the source.
+
+    A source of several files has one manifest entry per file; each file must match one.
+    """
+    known = manifest.groupBy(key).agg(F.min("sha256").alias("expected"))
+    listed = manifest.select(key, "sha256", F.lit(True).alias("_listed")).distinct()
     status: Column = (
         F.when(F.col("expected").isNull(), "unknown")
-        .when(F.col("expected") == F.col("sha256"), "match")
+        .when(F.col("_listed"), "match")
         .otherwise("mismatch")
     )
-    return found.join(expected, key, "left").withColumn("status", status)
+    return (
+        found.join(known, key, "left")
+        .join(listed, [key, "sha256"], "left")
+        .withColumn("status", status)
+        .drop("_listed")
+    )
 
 
 def require_provenance(status: DataFrame, key: str = "nom") -> None:
