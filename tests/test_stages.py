@@ -160,6 +160,10 @@ def _fires(check):
     return row["violations"]
 
 
+def _breaks(df, rule):
+    return _fires(quality.row_checks(df, rule))
+
+
 @pytest.fixture(scope="module")
 def t(store):
     return {n: from_contract(n, store.read(n)) for n in TABLES}
@@ -206,23 +210,23 @@ def test_an_empty_table_does_not_pass(t):
 
 def test_other_faults_fire(t, spark):
     one = t["f_naissances"].filter("entity_id = 1").limit(1)
-    assert _fires(quality.not_multiple(one.withColumn("n", F.lit(12)), "n", 5, "x")) == 1
+    assert _breaks(one.withColumn("n", F.lit(12)), quality.not_multiple("n", 5, "x")) == 1
     assert _fires(quality.period_range(t["d_annee"], 1901, 2025, "x")) == 1
     assert _fires(quality.distinct_codes(t["d_prenom"], "grp", 3, "x")) == 1
     assert _fires(quality.missing_codes(t["d_departement"], "territory", ["2A", "20"], "x")) == 1
     raw = t["d_prenom"].withColumn("search", F.lower("entity"))
-    assert _fires(quality.not_normalised(raw, "search", "x")) > 0
+    assert _breaks(raw, quality.not_normalised("search", "x")) > 0
     blank = t["d_departement"].withColumn("label", F.lit(" "))
-    assert _fires(quality.blank_labels(blank, "label", "x")) == 101
+    assert _breaks(blank, quality.blank("label", "x")) == 101
     wrong = t["traits"].withColumn("ongoing", ~F.col("ongoing"))
     definition = F.col("peak_period") >= 2016
-    assert _fires(quality.flag_coherent(wrong, F.col("ongoing"), definition, "x")) == wrong.count()
+    assert _breaks(wrong, quality.flag_coherent(F.col("ongoing"), definition, "x")) == wrong.count()
     bridge = t["prenom_archetype"]
     assert _fires(quality.membership(bridge.withColumn("archetype", F.lit(0)), t["traits"], "x")) == t["traits"].count()
     assert _fires(quality.empty_groups(t["d_archetype"], bridge.filter("archetype <> 2"), "x")) == 1
-    assert _fires(quality.distance_coherent(bridge.withColumn("distance", F.lit(-1.0)), "x")) == bridge.count()
-    assert _fires(quality.outside(t["traits"].withColumn("recency", F.lit(1.5)), ["recency"], 0, 1, "x")) > 0
-    assert _fires(quality.not_positive(t["f_specificite"].withColumn("expected", F.lit(0.0)), ["expected"], "x")) > 0
+    assert _breaks(bridge.withColumn("distance", F.lit(-1.0)), quality.distance_coherent("x")) == bridge.count()
+    assert _breaks(t["traits"].withColumn("recency", F.lit(1.5)), quality.outside(["recency"], 0, 1, "x")) > 0
+    assert _breaks(t["f_specificite"].withColumn("expected", F.lit(0.0)), quality.not_positive(["expected"], "x")) > 0
     assert _fires(quality.ineligible(t["profil"], t["d_prenom"], 10**9, "x")) == t["traits"].count()
     assert _fires(quality.label_count(("a",), 2, t["d_archetype"], "x")) == 1
     cells = t["f_specificite"]

@@ -1,8 +1,9 @@
-"""Data-quality checks: each is a one-row DataFrame (check, violations).
+"""Data-quality checks as DataFrames of (check, violations).
 
 A check never returns data rows, only how many break the rule, so a report over many
-tables stays a handful of rows.  Comparisons of totals are null-safe: the sum of an empty
-table is null and must not pass.
+tables stays a handful of rows.  Rules about single rows are conditions; ``row_checks``
+counts all of them in one pass over the table.  Comparisons of totals are null-safe: the
+sum of an empty table is null and must not pass.
 """
 
 from __future__ import annotations
@@ -35,9 +36,19 @@ def _total(df: DataFrame, column: str) -> Column:
     return df.agg(F.sum(column)).scalar()
 
 
-def violations(df: DataFrame, condition: Column, name: str) -> DataFrame:
-    """Rows on which ``condition`` is true; null is not a violation."""
-    return _row(df, name, F.count_if(condition))
+Rule = tuple[str, Column]
+
+
+def row_checks(df: DataFrame, *rules: Rule) -> DataFrame:
+    """Rows that break each rule, for any number of rules in a single scan.
+
+    A null condition is not a violation.
+    """
+    counts = [
+        F.struct(F.lit(name).alias("check"), F.count_if(broken).alias("violations"))
+        for name, broken in rules
+    ]
+    return df.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
 
 
 def unique_key(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -110,28 +121,42 @@ def sums_to_one(df: DataFrame, groups: Sequence[str], value: str, name: str,
     return _row(sums, name, F.count_if(F.coalesce(F.abs(F.col("s") - 1) > tolerance, F.lit(True))))
 
 
-def outside(df: DataFrame, columns: Iterable[str], low: float, high: float, name: str) -> DataFrame:
-    """Rows with a value outside [low, high] in any column; nulls pass."""
-    bad = reduce(
-        lambda a, b: a | b,
-        [F.coalesce(~F.col(c).between(low, high), F.lit(False)) for c in columns],
-    )
-    return violations(df, bad, name)
+def outside(columns: Iterable[str], low: float, high: float, name: str) -> Rule:
+    """A value outside [low, high] in any column; nulls pass."""
+    bad = [F.coalesce(~F.col(c).between(low, high), F.lit(False)) for c in columns]
+    return name, reduce(lambda a, b: a | b, bad)
+
+
+def not_positive(columns: Iterable[str], name: str) -> Rule:
+    """A value that is zero, negative or missing."""
+    bad = [F.coalesce(F.col(c) <= 0, F.lit(True)) for c in columns]
+    return name, reduce(lambda a, b: a | b, bad)
+
+
+def flag_coherent(flag: Column, definition: Column, name: str) -> Rule:
+    """A stored flag that differs from its definition."""
+    return name, ~flag.eqNullSafe(definition)
+
 
+def not_multiple(column: str, step: int, name: str) -> Rule:
+    """No multiple of the source's rounding step."""
+    return name, F.col(column) % F.lit(step) != 0
 
-def not_positive(df: DataFrame, columns: Iterable[str], name: str) -> DataFrame:
-    bad = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) <= 0, F.lit(True)) for c in columns])
-    return violations(df, bad, name)
 
+def blank(column: str, name: str) -> Rule:
+    return name, F.col(column).isNull() | (F.trim(F.col(column)) == "")
 
-def flag_coherent(df: DataFrame, flag: Column, definition: Column, name: str) -> DataFrame:
-    """Rows whose stored flag differs from its definition."""
-    return violations(df, ~flag.eqNullSafe(definition), name)
 
+def not_normalised(column: str, name: str) -> Rule:
+    """A search key that still carries an accent or a capital."""
+    return name, ~is_search_key(F.col(column))
 
-def not_multiple(df: DataFrame, column: str, step: int, name: str) -> DataFrame:
-    """Rows that are no multiple of the source's rounding step."""
-    return violations(df, F.col(column) % F.lit(step) != 0, name)
+
+def distance_coherent(name: str) -> Rule:
+    """A distance if and only if the entity is classified, and never a negative one."""
+    distance = F.col("distance")
+    undue = distance.isNotNull() != (F.col("archetype") != 0)
+    return name, undue | F.coalesce(distance < 0, F.lit(False))
 
 
 def period_range(df: DataFrame, low: int, high: int, name: str) -> DataFrame:
@@ -145,22 +170,12 @@ def distinct_codes(df: DataFrame, column: str, expected: int, name: str) -> Data
     return _row(codes, name, (F.count(column) != F.lit(expected)).cast("int"))
 
 
-def blank_labels(df: DataFrame, column: str, name: str) -> DataFrame:
-    bad = F.col(column).isNull() | (F.trim(F.col(column)) == "")
-    return violations(df, bad, name)
-
-
 def missing_codes(df: DataFrame, column: str, required: Sequence[str], name: str) -> DataFrame:
     """Required codes that are absent."""
     found = F.count_distinct(F.when(F.col(column).isin(list(required)), F.col(column)))
     return _row(df, name, F.lit(len(required)) - found)
 
 
-def not_normalised(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Search keys that still carry an accent or a capital."""
-    return violations(df, ~is_search_key(F.col(column)), name)
-
-
 def median_index(cells: DataFrame, name: str, floor: int = 500,
                  low: float = 0.9, high: float = 1.2) -> DataFrame:
     """The median index of large cells lies strictly between the bounds."""
@@ -182,13 +197,6 @@ def membership(bridge: DataFrame, traits: DataFrame, name: str,
     return _row(both, name, F.count_if(has != grouped))
 
 
-def distance_coherent(bridge: DataFrame, name: str) -> DataFrame:
-    """A distance if and only if the entity is classified, and never a negative one."""
-    distance = F.col("distance")
-    bad = (distance.isNotNull() != (F.col("archetype") != 0)) | F.coalesce(distance < 0, F.lit(False))
-    return violations(bridge, bad, name)
-
-
 def empty_groups(dim: DataFrame, bridge: DataFrame, name: str) -> DataFrame:
     """Groups of the dimension without a member."""
     used = bridge.select("archetype").distinct()

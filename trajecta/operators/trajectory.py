@@ -65,11 +65,12 @@ def profile(grid: DataFrame, keys: Sequence[str] = ENTITY, reach: int = 2) -> Da
     """
     in_order = Window.partitionBy(*keys).orderBy("period")
     around = in_order.rowsBetween(-reach, reach)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.col("total")
     return (
         grid.withColumn("share", ratio(F.col("n"), total))
         .withColumn("smooth", ratio(F.sum("n").over(around), F.count("n").over(around) * total))
-        .withColumn("cumulative", ratio(F.sum("n").over(in_order), total))
+        .withColumn("cumulative", ratio(F.sum("n").over(so_far), total))
     )
 
 
@@ -99,15 +100,19 @@ def states(
     ``previous`` is the state one period earlier, 0 when there is none.
     """
     in_order = Window.partitionBy(*keys).orderBy("period")
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     raw = F.when(F.col("smooth") >= F.lit(enter) * F.col("peak_height"), 1).when(
         F.col("smooth") < F.lit(leave) * F.col("peak_height"), 0
     )
     return (
         with_peak(profiles, keys)
         .withColumn("raw_state", raw)
-        .withColumn("state", F.last("raw_state", ignorenulls=True).over(so_far))
-        .withColumn("previous", F.coalesce(F.lag("state").over(in_order), F.lit(0)))
+        # The last decision before a row is both what an undecided row holds on to and the
+        # state of the row before it, so one window gives the two.
+        .withColumn("_held", F.last("raw_state", ignorenulls=True).over(earlier))
+        .withColumn("state", F.coalesce("raw_state", "_held"))
+        .withColumn("previous", F.coalesce("_held", F.lit(0)))
+        .drop("_held")
     )
 
 

@@ -298,29 +298,37 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             quality.unique_key(dim, ["entity", "grp"], "natural key"),
             quality.unique_key(dim, ["segment"], "segment label"),
             quality.orphans(local, dim, ["entity", "grp"], "facts without entity"),
-            quality.not_multiple(national, "n", 5, "multiples of 5"),
-            quality.not_normalised(dim, "search", "search key"),
+            quality.row_checks(national, quality.not_multiple("n", 5, "multiples of 5")),
+            quality.row_checks(dim, quality.not_normalised("search", "search key")),
             quality.sums_to_one(shares, ["period", "grp"], "share", "shares of periods"),
             quality.period_range(national, 1995, 2001, "declared periods"),
             quality.distinct_codes(dim, "grp", 2, "two groups"),
             quality.dense_grid_complete(states, periods, "grid complete", KEYS),
             quality.sums_to_one(states, KEYS, "share", "profile shares"),
             quality.sums_to_one(states, KEYS, "smooth", "smoothed shares", tolerance=0.05),
-            quality.outside(traits, proportions, 0.0, 1.0, "traits in [0, 1]"),
-            quality.not_positive(traits, ["strong_width", "strong_runs"], "strong run"),
-            quality.flag_coherent(
-                traits, F.col("ongoing"), F.col("peak_period") >= obs.VINTAGE - 9, "ongoing flag"
+            quality.row_checks(
+                traits,
+                quality.outside(proportions, 0.0, 1.0, "traits in [0, 1]"),
+                quality.not_positive(["strong_width", "strong_runs"], "strong run"),
+                quality.flag_coherent(
+                    F.col("ongoing"), F.col("peak_period") >= obs.VINTAGE - 9, "ongoing flag"
+                ),
+                quality.outside(["peak_period"], obs.PIVOT, obs.VINTAGE, "peak within periods"),
             ),
-            quality.outside(traits, ["peak_period"], obs.PIVOT, obs.VINTAGE, "peak within periods"),
             quality.membership(bridge, traits, "group 0 without traits", KEYS),
-            quality.distance_coherent(bridge, "distance of members"),
+            quality.row_checks(bridge, quality.distance_coherent("distance of members")),
             quality.empty_groups(groups, bridge, "no empty group"),
             quality.label_count(LABELS, len(CENTRES), groups, "one label per group"),
-            quality.not_positive(quotients, ["observed", "expected"], "cells positive"),
+            quality.row_checks(
+                quotients, quality.not_positive(["observed", "expected"], "cells positive")
+            ),
             quality.sparsity(quotients, "sparsity"),
             quality.median_index(quotients, "median index", floor=60),
-            quality.flag_coherent(territories, F.col("overseas"), overseas, "overseas flag"),
-            quality.blank_labels(territories, "label", "territory labels"),
+            quality.row_checks(
+                territories,
+                quality.flag_coherent(F.col("overseas"), overseas, "overseas flag"),
+                quality.blank("label", "territory labels"),
+            ),
             quality.missing_codes(territories, "territory", ["01", "970", "2A"], "codes kept"),
             quality.orphans(territories, cells, ["territory"], "territories without cell"),
             quality.same_total(territories, "total", cells, "observed", "territory totals conserved"),

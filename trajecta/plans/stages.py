@@ -91,10 +91,10 @@ def national_contract(t: Tables, register: DataFrame, settings: Settings) -> lis
         quality.orphans(dim, groups, ["grp"], "entities without group"),
         quality.same_total(dim, "total", fact, "n", "dimension totals conserved"),
         quality.same_entities(source.select("prenom", "sexe"), dim, ["prenom", "sexe"], "entities conserved"),
-        quality.not_multiple(fact, "n", 5, "national multiples of 5"),
+        quality.row_checks(fact, quality.not_multiple("n", 5, "national multiples of 5")),
         quality.period_range(periods, settings.first_period, settings.vintage, "declared periods"),
         quality.distinct_codes(dim, "grp", 2, "two groups"),
-        quality.not_normalised(dim, "search", "search key normalised"),
+        quality.row_checks(dim, quality.not_normalised("search", "search key normalised")),
         quality.sums_to_one(cell, ["period", "grp"], "share", "shares per period and group"),
     ]
 
@@ -131,11 +131,14 @@ def trajectory_contract(t: Tables, dim: DataFrame, settings: Settings) -> list[D
         quality.unique_key(traits, ["entity_id"], "traits key"),
         quality.sums_to_one(profiles, ["entity_id"], "share", "profile shares"),
         quality.sums_to_one(profiles, ["entity_id"], "smooth", "smoothed shares", tolerance=0.05),
-        quality.outside(traits, ["concentration", "recency", "asymmetry"], 0.0, 1.0, "traits in [0, 1]"),
-        quality.outside(traits, ["peak_period"], first, last, "peak within periods"),
-        quality.not_positive(traits, ["strong_width", "strong_runs"], "at least one strong run"),
-        quality.flag_coherent(
-            traits, F.col("ongoing"), F.col("peak_period") >= settings.vintage - 9, "ongoing flag"
+        quality.row_checks(
+            traits,
+            quality.outside(["concentration", "recency", "asymmetry"], 0.0, 1.0, "traits in [0, 1]"),
+            quality.outside(["peak_period"], first, last, "peak within periods"),
+            quality.not_positive(["strong_width", "strong_runs"], "at least one strong run"),
+            quality.flag_coherent(
+                F.col("ongoing"), F.col("peak_period") >= settings.vintage - 9, "ongoing flag"
+            ),
         ),
     ]
 
@@ -189,7 +192,7 @@ def archetype_contract(t: Tables, dim: DataFrame, traits: DataFrame, periods: Da
         quality.orphans(bridge, groups, ["archetype"], "bridge without group"),
         quality.label_count(settings.labels, settings.groups, groups, "one label per group"),
         quality.membership(bridge, traits, "group 0 without traits"),
-        quality.distance_coherent(bridge, "distance only where classified"),
+        quality.row_checks(bridge, quality.distance_coherent("distance only where classified")),
         quality.empty_groups(groups, bridge, "no empty group"),
         quality.dense_grid_complete(curves, periods, "curves complete", ["archetype"]),
         quality.sums_to_one(curves, ["archetype"], "mean_share", "curve shares", tolerance=0.05),
@@ -242,7 +245,7 @@ def geography_gate(t: Tables, register: DataFrame) -> list[DataFrame]:
     return [
         quality.orphans(cells, territories, ["territory"], "cells without territory"),
         quality.margins_agree(cells, "observed", [["territory"], ["entity_id"]], "margins agree"),
-        quality.not_positive(cells, ["observed", "expected"], "cells positive"),
+        quality.row_checks(cells, quality.not_positive(["observed", "expected"], "cells positive")),
         quality.same_total(fact, "n", cells, "observed", "grain totals agree"),
         quality.same_total(territories, "total", cells, "observed", "territory totals conserved"),
         quality.same_total(
@@ -259,12 +262,13 @@ def geography_contract(t: Tables, register: DataFrame, dim: DataFrame, periods:
         quality.unique_key(territories, ["territory"], "d_departement key"),
         quality.distinct_codes(cells, "territory", 101, "101 territories"),
         quality.missing_codes(territories, "territory", ["2A", "2B"], "Corsican codes kept"),
-        quality.blank_labels(territories, "label", "territory labels"),
-        quality.blank_labels(territories, "region_label", "region labels"),
-        quality.flag_coherent(
-            territories, F.col("overseas"), F.length("territory") == 3, "overseas flag"
+        quality.row_checks(
+            territories,
+            quality.blank("label", "territory labels"),
+            quality.blank("region_label", "region labels"),
+            quality.flag_coherent(F.col("overseas"), F.length("territory") == 3, "overseas flag"),
+            quality.not_positive(["total"], "territory totals"),
         ),
-        quality.not_positive(territories, ["total"], "territory totals"),
         quality.unique_key(fact, ["entity_id", "territory", "period"], "f_naissances_dep grain"),
         quality.unique_key(cells, ["entity_id", "territory"], "f_specificite grain"),
         quality.orphans(cells, dim, ["entity_id"], "cells without entity"),
@@ -272,7 +276,7 @@ def geography_contract(t: Tables, register: DataFrame, dim: DataFrame, periods:
         quality.orphans(fact, periods, ["period"], "territorial periods known"),
         quality.less_total(cells, "observed", national, "valeur", "territorial below national"),
         quality.grains_reconcile(fact, "n", cells, "observed", ["entity_id", "territory"], "grains reconcile"),
-        quality.not_multiple(cells, "observed", 5, "territorial multiples of 5"),
+        quality.row_checks(cells, quality.not_multiple("observed", 5, "territorial multiples of 5")),
         quality.median_index(cells, "median index"),
     ]
 
