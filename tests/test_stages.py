@@ -85,9 +85,16 @@ def test_reports(store):
     assert -1 <= groups["stability"].first()["stability"] <= 1
     assert groups["composition"].count() == 5
     assert groups["representatives"].count() == 5
+    assert [r["archetype"] for r in groups["composition"].collect()] == [1, 2, 3, 4, 5]
     geography = stages.geography_report(store)
     assert geography["coverage"].first()["entities"] > 10
-    assert geography["specificities"].count() == 12
+    top = [r["index"] for r in geography["specificities"].collect()]
+    assert len(top) == 12 and top == sorted(top, reverse=True)
+
+
+def test_the_assignment_is_a_relation_for_sql(spark, store):
+    classified = store.read("prenom_archetype").filter("archetype_id > 0").count()
+    assert spark.sql("SELECT count(*) FROM affectation WHERE groupe BETWEEN 1 AND 5").first()[0] == classified
 
 
 def test_a_missing_table_names_its_stage(spark, tmp_path):

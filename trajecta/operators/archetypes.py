@@ -23,6 +23,15 @@ def archetype_dim(spark: SparkSession, labels: Sequence[str]) -> DataFrame:
     )
 
 
+def expose_assignment(assignment: DataFrame, view: str = "affectation") -> None:
+    """Make the assignment a relation for SQL; it stays distributed."""
+    assignment.select(
+        F.col("entity_id").alias("prenom_id"),
+        F.col("archetype").alias("groupe"),
+        F.col("distance").alias("distance_centre"),
+    ).createOrReplaceTempView(view)
+
+
 def bridge(dim: DataFrame, assignment: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
     """Every entity once: its group, or 0 with no distance where it was not classified."""
     return (

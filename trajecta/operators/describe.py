@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajecta.functions.numbers import ratio
 from trajecta.operators.quantiles import exact_quantiles
+from trajecta.operators.star import values_table
 from trajecta.operators.trajectory import ENTITY
 
 TRAITS = ("peak_period", "strong_width", "concentration", "recency", "asymmetry")
@@ -45,8 +46,12 @@ def run_distribution(traits: DataFrame) -> DataFrame:
 
 
 def witness_panel(traits: DataFrame, dim: DataFrame, witnesses: Sequence[str]) -> DataFrame:
-    """Traits of named entities, to notice at once when a trait stops making sense."""
-    named = dim.filter(F.col("segment").isin(list(witnesses))).select("entity_id", "segment")
+    """Traits of named entities, to notice at once when a trait stops making sense.
+
+    The names come as a relation: a name that is listed twice is shown twice.
+    """
+    wanted = values_table(traits.sparkSession, [(w,) for w in witnesses], "segment string")
+    named = dim.select("entity_id", "segment").join(wanted, "segment")
     return traits.join(named, "entity_id").select(
         "segment",
         "peak_period",
@@ -135,6 +140,7 @@ def top_specificities(quotients: DataFrame, dim: DataFrame, territories: DataFra
     return (
         leading.join(dim.select("entity_id", "segment"), "entity_id")
         .join(territories.select("territory", F.col("label").alias("territory_label")), "territory")
+        .orderBy(F.col("_index").desc(), "entity_id", "territory")
         .select(
             "segment",
             "territory_label",

@@ -153,9 +153,9 @@ def trajectory_report(store: TableStore, settings: Settings) -> Tables:
     dim, traits = _load(store, "d_prenom", "traits")
     return {
         "coverage": describe.eligibility_coverage(dim, settings.threshold),
-        "distribution": describe.trait_distribution(traits),
-        "runs": describe.run_distribution(traits),
-        "witnesses": describe.witness_panel(traits, dim, settings.witnesses),
+        "distribution": describe.trait_distribution(traits).orderBy("trait"),
+        "runs": describe.run_distribution(traits).orderBy("strong_runs"),
+        "witnesses": describe.witness_panel(traits, dim, settings.witnesses).orderBy("peak_period"),
     }
 
 
@@ -171,6 +171,7 @@ def fit(traits: DataFrame, settings: Settings) -> cluster.Archetypes:
 def archetype_tables(dim: DataFrame, traits: DataFrame, profiles: DataFrame,
                      model: cluster.Archetypes, settings: Settings) -> Tables:
     assignment = cluster.assign(traits, model)
+    arch.expose_assignment(assignment)
     return {
         "d_archetype": arch.archetype_dim(dim.sparkSession, settings.labels),
         "prenom_archetype": arch.bridge(dim, assignment),
@@ -217,8 +218,8 @@ def archetype_report(store: TableStore, settings: Settings) -> Tables:
     return {
         "silhouette": cluster.silhouette(cluster.standardise(labelled, model.scale), axes),
         "stability": cluster.stability(scores),
-        "composition": describe.group_composition(bridge, groups, traits),
-        "representatives": describe.representatives(bridge, dim),
+        "composition": describe.group_composition(bridge, groups, traits).orderBy("archetype"),
+        "representatives": describe.representatives(bridge, dim).orderBy("archetype"),
     }
 
 
