@@ -4,6 +4,7 @@ import json
 import pytest
 
 from trajecta import session
+from trajecta.plans import stages
 from trajecta.sources import provenance, shapes
 from trajecta.sources.register import read_code_list, read_register
 
@@ -55,6 +56,32 @@ def test_manifest_document_round_trip(spark, tmp_path):
     assert provenance.manifest_changes(back, old).count() == 0
 
 
+def test_the_sources_stage_dates_only_what_it_knows(spark, files, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("out") / "manifest")
+
+    def declared(date):
+        return spark.createDataFrame(
+            [("first", 2025, "u1", "a.bin", date), ("second", 2026, "u2", "c.bin", None)],
+            "nom string, millesime int, url string, fichier string, date_telechargement string",
+        )
+
+    def dates():
+        rows = provenance.read_manifest(spark, path).collect()
+        return {r["nom"]: (r["octets"], r["date_telechargement"]) for r in rows}
+
+    assert stages.run_sources(spark, declared("2026-01-01"), str(files), path)
+    assert dates() == {"first": (5000, "2026-01-01"), "second": (2, None)}
+    # Nothing changed: the date is kept and the manifest not written again.
+    assert not stages.run_sources(spark, declared(None), str(files), path)
+    (files / "a.bin").write_bytes(b"other")
+    with pytest.raises(ValueError, match="first: expected"):
+        stages.check_sources(spark, path, first=str(files / "a.bin"))
+    stages.check_sources(spark, path, second=str(files / "c.bin"), third=str(files / "a.bin"))
+    assert stages.run_sources(spark, declared(None), str(files), path)
+    assert dates()["first"] == (5, None)
+    stages.check_sources(spark, str(files / "no-manifest"), first=str(files / "a.bin"))
+
+
 def test_provenance_gate(spark):
     found = _entries(spark, ("a", "1", None), ("b", "2", None), ("new", "3", None)).select("nom", "sha256")
     manifest = _entries(spark, ("a", "1", None), ("b", "1", None))

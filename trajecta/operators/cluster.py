@@ -27,6 +27,9 @@ register_pickle_by_value(sys.modules[__name__])
 
 FEATURES = ("peak_period", "strong_width")
 
+# Distances one task computes at a time, however many points there are.
+_TASK_DISTANCES = 4_000_000
+
 
 @dataclass(frozen=True)
 class Scale:
@@ -191,8 +194,7 @@ def fit_many(points: DataFrame, scale: Scale, groups: int, restarts: int, seed:
         "draw", *axes, "weight", F.xxhash64(*scale.features).alias("point")
     )
     draws = {r["draw"]: r["n"] for r in prepared.groupBy("draw").agg(F.count("*").alias("n")).collect()}
-    # A task handles a few million distances, however many points there are.
-    tasks = max(1, ceil(sum(draws.values()) * restarts * groups / 4_000_000))
+    tasks = max(1, ceil(sum(draws.values()) * restarts * groups / _TASK_DISTANCES))
     prepared = prepared.repartition(tasks, "point", "draw").persist()
     # Stop when the centres of a run together move by less than 0.01 standard deviations.
     tolerance = 0.01
@@ -293,9 +295,10 @@ def silhouette(points: DataFrame, axes: Sequence[str], group: str = "archetype",
     axes = list(axes)
     merged = points.groupBy(*axes, group).agg(F.sum("weight").cast("long").alias("weight"))
     stored = materialise(merged.withColumn("point", F.xxhash64(*axes, group)), "silhouette")
-    parts = max(1, ceil(stored.count() / block))
-    # The work is quadratic in few rows: a fixed count keeps them from being merged again.
-    spread = stored.repartition(4 * points.sparkSession.sparkContext.defaultParallelism, "point")
+    size = stored.count()
+    parts = max(1, ceil(size / block))
+    # A task handles a few million distances; by bytes alone the few rows would be merged.
+    spread = stored.repartition(max(1, ceil(size * min(size, block) / _TASK_DISTANCES)), "point")
     pieces = []
     for part in range(parts):
         chunk = stored.filter(F.pmod(F.xxhash64("point"), F.lit(parts)) == part)

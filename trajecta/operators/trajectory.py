@@ -82,13 +82,9 @@ def peaks(profiles: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
     )
 
 
-def with_peak(profiles: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
-    """The same peak on every row of the entity, without joining an aggregate back."""
-    whole = Window.partitionBy(*keys)
-    best = F.struct(F.col("smooth"), (-F.col("period")).alias("early"))
-    return profiles.withColumn("peak_height", F.max("smooth").over(whole)).withColumn(
-        "peak_period", F.max_by("period", best).over(whole)
-    )
+def with_peak_height(profiles: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
+    """The height of the peak on every row of the entity, without joining an aggregate back."""
+    return profiles.withColumn("peak_height", F.max("smooth").over(Window.partitionBy(*keys)))
 
 
 def states(
@@ -105,7 +101,7 @@ def states(
         F.col("smooth") < F.lit(leave) * F.col("peak_height"), 0
     )
     return (
-        with_peak(profiles, keys)
+        with_peak_height(profiles, keys)
         .withColumn("raw_state", raw)
         # The last decision before a row is both what an undecided row holds on to and the
         # state of the row before it, so one window gives the two.
@@ -139,7 +135,7 @@ def traits(
     """
     strong = F.col("state") == 1
     measured = stated.groupBy(*keys).agg(
-        F.any_value("peak_period").alias("peak_period"),
+        F.min(F.when(F.col("smooth") == F.col("peak_height"), F.col("period"))).alias("peak_period"),
         F.count_if(strong).alias("strong_width"),
         F.count_if(strong & (F.col("previous") == 0)).alias("strong_runs"),
         F.any_value("best").alias("best"),

@@ -21,9 +21,12 @@ from trajecta.schemas import TABLES, from_contract, to_contract
 from trajecta.session import materialise
 from trajecta.sources.provenance import (
     fingerprints,
+    manifest_entries,
     provenance_status,
-    read_manifest,
     require_provenance,
+    save_manifest,
+    stored_manifest,
+    upsert_manifest,
 )
 from trajecta.sources.register import (
     department_rows,
@@ -296,12 +299,23 @@ def geography_report(store: TableStore) -> Tables:
     }
 
 
+# --- sources -------------------------------------------------------------------------
+
+
+def run_sources(spark: SparkSession, declared: DataFrame, folder: str, manifest_path: str) -> bool:
+    """Measure the landed files and bring the manifest up to date; True if it was written."""
+    old = stored_manifest(spark, manifest_path)
+    current = manifest_entries(fingerprints(spark, folder), declared)
+    return save_manifest(upsert_manifest(current, old), old, manifest_path)
+
+
 # --- everything ----------------------------------------------------------------------
 
 
 def check_sources(spark: SparkSession, manifest_path: str, **paths: str) -> None:
-    """Compare each source file with the manifest; a source it does not list passes."""
-    manifest = read_manifest(spark, manifest_path)
+    """Compare each source file with the manifest; one it does not list passes, as do all
+    sources before there is a manifest."""
+    manifest = stored_manifest(spark, manifest_path)
     for name, path in paths.items():
         found = fingerprints(spark, path).withColumn("nom", F.lit(name))
         if found.isEmpty():

@@ -8,9 +8,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajecta.session import materialise
+
 # Tasks get the functions of this module with the closure: it need not be installed there.
 register_pickle_by_value(sys.modules[__name__])
 
@@ -79,6 +82,35 @@ def manifest_document(entries: DataFrame) -> DataFrame:
     return entries.agg(F.to_json(F.struct(rows.alias("sources"))).alias("value"))
 
 
+def stored_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of an earlier run, or no entries before the first one."""
+    try:
+        return read_manifest(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST).select(F.inline("sources"))
+
+
+def manifest_entries(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """Declared sources with the size and hash measured on their files.
+
+    ``declared`` has nom, millesime, url, fichier and date_telechargement (null for a file
+    that was already there).
+    """
+    return declared.join(found.select("fichier", "octets", "sha256"), "fichier").select(*ENTRY)
+
+
+def save_manifest(entries: DataFrame, old: DataFrame, path: str) -> bool:
+    """Write the manifest unless nothing changed; says whether it was written."""
+    if manifest_changes(entries, old).isEmpty():
+        return False
+    # The entries may be read from the very file that is replaced.
+    document = materialise(manifest_document(entries), "manifest")
+    document.coalesce(1).write.mode("overwrite").text(path)
+    return True
+
+
 def upsert_manifest(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Keep an earlier download date only where the content is unchanged.
 
