@@ -102,6 +102,16 @@ def test_a_missing_table_names_its_stage(spark, tmp_path):
         TableStore(spark, str(tmp_path)).read("d_prenom")
 
 
+def test_a_landed_register_is_scanned_by_level(spark, source, tmp_path, capsys):
+    from trajecta.sources.register import department_rows, land_register
+
+    landed = land_register(source, str(tmp_path / "landed"))
+    department_rows(landed).explain("formatted")
+    assert "PartitionFilters: [isnotnull(niveau_geographique" in capsys.readouterr().out
+    assert department_rows(landed).exceptAll(department_rows(source)).isEmpty()
+    assert department_rows(landed).count() == department_rows(source).count()
+
+
 def test_an_altered_source_stops_the_run(spark, paths, tmp_path):
     manifest = spark.createDataFrame(
         [("prenoms", 2025, "u", "f", 1, "0" * 64, None)],

@@ -30,6 +30,7 @@ from trajecta.sources.provenance import (
 )
 from trajecta.sources.register import (
     department_rows,
+    land_register,
     national_rows,
     read_code_list,
     read_register,
@@ -340,13 +341,20 @@ def verify(store: TableStore, register: DataFrame, settings: Settings) -> DataFr
 
 
 def run(spark: SparkSession, register_path: str, codes_path: str, out: str,
-        settings: Settings | None = None, manifest_path: str | None = None) -> dict[str, int]:
-    """All stages in order; returns the rows written per table."""
+        settings: Settings | None = None, manifest_path: str | None = None,
+        landing: str | None = None) -> dict[str, int]:
+    """All stages in order; returns the rows written per table.
+
+    With ``landing`` the register is first copied there by geographic level, which pays
+    when it is too large to be scanned whole for each level.
+    """
     settings = settings or Settings()
     if manifest_path:
         check_sources(spark, manifest_path, prenoms=register_path, departements=codes_path)
     store = TableStore(spark, out)
     register, codes = read_register(spark, register_path), read_code_list(spark, codes_path)
+    if landing:
+        register = land_register(register, landing)
     rows = run_national(store, register)
     rows |= run_trajectories(store, settings)
     rows |= run_archetypes(store, settings)

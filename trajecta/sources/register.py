@@ -22,6 +22,16 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     return register
 
 
+def land_register(register: DataFrame, path: str) -> DataFrame:
+    """Copy the register into one folder per geographic level and read it back.
+
+    The stages and checks read it several times, each time one level only; the folders
+    let a scan skip the other levels altogether.
+    """
+    register.write.mode("overwrite").partitionBy("niveau_geographique").parquet(path)
+    return read_register(register.sparkSession, path)
+
+
 def read_code_list(spark: SparkSession, path: str) -> DataFrame:
     """The official code list; every column is text, or ``01`` would become 1.
 
