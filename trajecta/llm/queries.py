@@ -6,21 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import simhash
+from trajecta.llm import mixing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return simhash.near_duplicates(_documents(spark, sf_dir))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
 
+QUERIES: dict[str, Query] = {
+    "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
+}
 
-QUERIES["op6_simhash"] = op6_simhash
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE.strip(),
+}
