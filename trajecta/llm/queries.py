@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import mixing, simhash, toxicity
+from trajecta.llm import bpe, mixing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,10 +31,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary(path: str | None = None) -> str:
+    """Definition of the word vocabulary; ``path`` replaces the public file."""
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLES: dict[str, str] = {
