@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,9 @@ def labelled_sample(
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
     )
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_class)
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "label")
+    spot = (F.xxhash64("doc_id"), F.col("doc_id"))
+    # Each task keeps its own first rows, so no class is gathered.
+    first = [known.filter(F.col("label") == c).orderBy(*spot).limit(per_class) for c in (0, 1)]
+    chosen = first[0].union(first[1]).select(F.col("doc_id").alias("chosen_id"), "label")
     texts = docs.select("doc_id", "text")
     return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label")
