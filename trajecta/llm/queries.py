@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import bpe, mixing, simhash, toxicity
+from trajecta.llm import bpe, mixing, passages, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that repeat an earlier one."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -43,6 +48,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_passages": op3_passages,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
