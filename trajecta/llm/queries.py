@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, mixing, passages, simhash, toxicity
+from trajecta.llm import bpe, mixing, neighbours, passages, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every vector whose id is divisible by 20."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that repeat an earlier one."""
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_neighbours": op1_neighbours,
     "op3_passages": op3_passages,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
