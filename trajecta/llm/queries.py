@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, mixing, neighbours, passages, simhash, toxicity
+from trajecta.llm import bpe, language, mixing, neighbours, passages, quality, rollups, simhash, toxicity
+from trajecta.session import materialise, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +55,59 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "letters-2": r"[\p{L}\p{N}]+"}
+WORDED = r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*"
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after a load of all documents, a delete, a revision and a replay.
+
+    Documents labelled toxic are deleted; of the others, those labelled low in quality have
+    their words counted again, without words that hold neither letter nor digit.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    counts = rollups.count_tokens(docs, TOKENIZERS | {"words-1 revised": WORDED})
+    counts = materialise(counts.join(labels, "doc_id", "left"), "counts")
+    current, revision = counts.filter("version <> 'words-1 revised'"), F.lit("words-1").alias("version")
+    low = counts.filter("quality = 0 AND coalesce(toxic, 0) <> 1")
+    new = low.filter("version = 'words-1 revised'").select("source", "lang", revision, "n_tokens")
+    toxic = rollups.signed(current.filter("toxic = 1"), -1)
+    totals = rollups.Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    totals.commit("load", rollups.signed(current, 1))
+    totals.commit("delete", toxic)
+    totals.commit("revise", rollups.revised(low.filter("version = 'words-1'"), new))
+    totals.commit("delete", toxic)
+    return totals.totals()
+
+
+ROLLUP_ORACLE = r"""
+WITH label AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+kept AS (
+  SELECT d.source, d.lang, coalesce(d.text, '') AS text, l.quality
+  FROM documents d LEFT JOIN label l ON d.doc_id = l.doc_id WHERE l.toxic IS DISTINCT FROM 1
+), counted AS (
+  SELECT source, lang, 'letters-2' AS version, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS n FROM kept
+  UNION ALL
+  SELECT source, lang, 'words-1',
+         len(regexp_extract_all(text, CASE WHEN quality = 0 THEN '[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*'
+                                           ELSE '[^\x20\x09-\x0D]+' END)) FROM kept
+)
+SELECT source, lang, version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM counted GROUP BY source, lang, version
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_neighbours": op1_neighbours,
     "op3_passages": op3_passages,
@@ -60,8 +115,12 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
+    "op8_language": op8_language,
+    "op9_token_rollup": op9_token_rollup,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE.strip(),
+    "op9_token_rollup": ROLLUP_ORACLE.strip(),
 }
