@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, language, mixing, neighbours, passages, quality, rollups, simhash, toxicity
+from trajecta.llm import bpe, language, mixing, neighbours, passages, quality, rollups, search, simhash, toxicity
 from trajecta.session import materialise, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best other documents for the text of every document whose id is divisible by 50."""
+    return search.top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that repeat an earlier one."""
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
@@ -110,6 +115,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_neighbours": op1_neighbours,
+    "op2_search": op2_search,
     "op3_passages": op3_passages,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
