@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm.learning import labelled_sample, remainder
-from trajecta.llm.words import hashes, shingle_hashes
+from trajecta.llm.words import shingle_hashes, word_hashes
 
 FOLDS, HELD = 5, 0
 PER_CLASS = 4000  # labelled documents of each class that the model is fitted on
@@ -44,25 +44,25 @@ def features(text: bytes | None) -> np.ndarray:
         return out
     n = len(text)
     kinds = np.bincount(_KIND, np.bincount(np.frombuffer(text, np.uint8), minlength=256), minlength=9)
-    w = text.lower().split()
     lines = [x for x in text.split(b"\n") if x.strip()]
     out[0] = np.log1p(n)
     out[1:9] = kinds[[0, 2, 3, 4, 5, 6, 7, 8]] / n
     out[9] = kinds[2] / max(1.0, kinds[1] + kinds[2])
+    h = word_hashes(text)
+    w = len(h)
     if w:
-        h = hashes(w)
         distinct, counts = np.unique(h, return_counts=True)
-        out[10] = len(b"".join(w)) / len(w)
-        out[11] = len(distinct) / len(w)
-        out[12] = counts.max() / len(w)
+        out[10] = (n - kinds[4] - kinds[5]) / w
+        out[11] = len(distinct) / w
+        out[12] = counts.max() / w
         grams = shingle_hashes(h, 3)
         if len(grams):
             out[13] = 1 - len(np.unique(grams)) / len(grams)
-        out[14] = np.log1p(len(w))
+        out[14] = np.log1p(w)
         out[15] = float((h[1:] == h[:-1]).mean()) if len(h) > 1 else 0.0
     if lines:
         out[16] = 1 - len(set(lines)) / len(lines)
-        out[17] = np.log1p(len(w) / len(lines))
+        out[17] = np.log1p(w / len(lines))
     return out
 
 

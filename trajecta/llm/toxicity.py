@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trajecta.llm.columns import unused
 from trajecta.llm.learning import labelled_sample, remainder
-from trajecta.llm.words import hashes, mixed, plain_words, shingle_hashes
+from trajecta.llm.words import mixed, plain_hashes_and_stems, shingle_hashes
 
 BUCKET_BITS = 20
 STEM = 4
@@ -29,9 +29,7 @@ FOLDS, HELD = 5, 0
 def features(text: bytes | None) -> np.ndarray:
     """Distinct buckets of a text's words, their stems (the first bytes of a longer word), word
     pairs and pairs with one or two words between."""
-    w = plain_words(text)
-    h = hashes(w)
-    stems = hashes(list({x[:STEM] for x in w if len(x) > STEM}))
+    h, stems = plain_hashes_and_stems(text, STEM)
     parts = [mixed(h, 1), mixed(stems, 5), mixed(shingle_hashes(h, 2), 2)]
     for gap in (2, 3):
         if len(h) > gap:

@@ -37,6 +37,59 @@ def hashes(items: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hash, items), np.uint64, len(items))
 
 
+# A multiplier for each byte and each place in a word; none for what separates words.
+_rng = np.random.default_rng(0x5EED)
+_BYTES = _rng.integers(1, 2**64, 256, dtype=np.uint64)
+_BYTES[[9, 10, 11, 12, 13, 32]] = 0
+_PLACES = _rng.integers(0, 2**63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _word_hashes(data: bytes, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash and start of each word of ``data``, all at once: the sum of byte times place
+    multipliers, then mixed.  With ``stem`` also the hashes of the first so many bytes of the
+    longer words."""
+    raw = np.frombuffer(data, np.uint8)
+    factors = _BYTES[raw]
+    apart = factors == 0
+    starts = np.flatnonzero(~apart & np.r_[True, apart[:-1]]) if len(raw) else np.empty(0, np.int64)
+    stems = np.empty(0, np.uint64)
+    if not len(starts):
+        return stems, starts, stems
+    first = starts[0]
+    place = np.arange(first, len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
+    with np.errstate(over="ignore"):
+        values = factors[first:] * _PLACES[place & (len(_PLACES) - 1)]
+        out = mixed(np.add.reduceat(values, starts - first), 77)
+        if stem:
+            longer = np.add.reduceat(~apart[first:], starts - first, dtype=np.int64) > stem
+            values[place >= stem] = 0
+            stems = mixed(np.add.reduceat(values, starts - first)[longer], 78)
+    return out, starts, stems
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """Hash of each of ``words(text)``."""
+    return _word_hashes(text.lower())[0] if text else np.empty(0, np.uint64)
+
+
+def all_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the number of words of each."""
+    out, starts, _ = _word_hashes(b"\n".join(texts).lower())
+    edges = np.cumsum([len(t) + 1 for t in texts])
+    return out, np.diff(np.r_[0, np.searchsorted(starts, edges)])
+
+
+def plain_hashes(text: bytes | None) -> np.ndarray:
+    """Hash of each of ``plain_words(text)``."""
+    return _word_hashes(text.translate(_PLAIN))[0] if text else np.empty(0, np.uint64)
+
+
+def plain_hashes_and_stems(text: bytes | None, stem: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and hashes of the first ``stem`` bytes of the longer words."""
+    out, _, stems = _word_hashes((text or b"").translate(_PLAIN), stem)
+    return out, stems
+
+
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """Spread the bits of unsigned 64-bit values; another salt is another function."""
     with np.errstate(over="ignore"):
