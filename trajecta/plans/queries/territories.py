@@ -104,18 +104,13 @@ def top_specificities(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {obs.QUOTIENTS},
     spread AS (SELECT *, COUNT(*) OVER (PARTITION BY entity, grp) AS places FROM quotients)
     SELECT entity, grp, territory, observed, ROUND(observed / expected, 9) AS index
-    FROM spread WHERE places > 1
-    ORDER BY ROUND(observed / expected, 9) DESC, entity, grp, territory LIMIT 50""",
+    FROM spread WHERE places > 1""",
 )
 def multi_territory_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 highest indices once entities of a single territory are set aside."""
+    """Indices once entities of a single territory are set aside."""
     kept = measures.in_several_territories(_quotients(spark, sf_dir), KEYS)
     index = F.round(ratio(F.col("observed"), F.col("expected")), 9)
-    return (
-        kept.select(*KEYS, "territory", "observed", index.alias("index"))
-        .orderBy(F.col("index").desc(), *KEYS, "territory")
-        .limit(50)
-    )
+    return kept.select(*KEYS, "territory", "observed", index.alias("index"))
 
 
 @registered(

@@ -88,7 +88,7 @@ def strong_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "period_ranks",
-    f"WITH {T} SELECT entity, grp, period, n, CAST(place AS INTEGER) AS place FROM held",
+    f"WITH {T} SELECT entity, grp, period, n, CAST(place AS INTEGER) AS place FROM placed",
 )
 def period_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = trajectory.rank_periods(_grid(spark, sf_dir), KEYS)
@@ -119,16 +119,24 @@ def shape_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "trait_distribution",
     f"""WITH {T},
-    long AS (
-      UNPIVOT (SELECT CAST(peak_period AS DOUBLE) AS peak_period,
-                      CAST(strong_width AS DOUBLE) AS strong_width,
-                      concentration, recency, asymmetry FROM traits)
-      ON peak_period, strong_width, concentration, recency, asymmetry
-      INTO NAME trait VALUE value)
-    SELECT trait, ROUND(MIN(value), 2) AS mini, ROUND(quantile_cont(value, 0.25), 2) AS q1,
-           ROUND(median(value), 2) AS median, ROUND(quantile_cont(value, 0.75), 2) AS q3,
-           ROUND(MAX(value), 2) AS maxi
-    FROM long GROUP BY trait""",
+    named AS (
+      SELECT unnest(['peak_period', 'strong_width', 'concentration', 'recency', 'asymmetry']) AS trait,
+             unnest([CAST(peak_period AS DOUBLE), CAST(strong_width AS DOUBLE), concentration, recency,
+                     asymmetry]) AS x
+      FROM traits),
+    numbered AS (
+      SELECT trait, x, row_number() OVER (PARTITION BY trait ORDER BY x) - 1 AS nth,
+             COUNT(*) OVER (PARTITION BY trait) - 1 AS top
+      FROM named WHERE x IS NOT NULL),
+    cut AS (
+      -- value at a share of the way from the first row to the last, between its two neighbours
+      SELECT trait, share, SUM(x * (1 - ABS(nth - top * share))) AS x
+      FROM numbered, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) AS s(share)
+      WHERE ABS(nth - top * share) < 1 GROUP BY trait, share)
+    SELECT a.trait, ROUND(a.x, 2) AS mini, ROUND(b.x, 2) AS q1, ROUND(c.x, 2) AS median,
+           ROUND(d.x, 2) AS q3, ROUND(e.x, 2) AS maxi
+    FROM cut a JOIN cut b USING (trait) JOIN cut c USING (trait) JOIN cut d USING (trait) JOIN cut e USING (trait)
+    WHERE (a.share, b.share, c.share, d.share, e.share) = (0, 0.25, 0.5, 0.75, 1)""",
 )
 def trait_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.trait_distribution(part_traits(spark, sf_dir))
