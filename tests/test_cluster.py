@@ -38,7 +38,7 @@ def test_fit_reaches_the_optimum_of_exact_centres(blobs, model):
     z = pdf[["peak_period", "strong_width"]].to_numpy(float)
     z = (z - z.mean(axis=0)) / z.std(axis=0)
     cost = sum(((z[pdf.truth == g] - z[pdf.truth == g].mean(axis=0)) ** 2).sum() for g in range(1, 6))
-    assert model.cost == pytest.approx(cost, rel=1e-3)
+    assert model.cost == pytest.approx(cost, rel=1e-9)
 
 
 def test_fit_is_repeatable(blobs, model):

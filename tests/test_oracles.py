@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import compare, oracle_connection
+from trajecta.plans.catalog import ORACLES, QUERIES
 
-ORACLES = entry.oracle_sql()
 ROWS_ONLY = {"kmeans_archetypes", "stability_draws", "file_fingerprints"}
 
 
@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, con, sf_dir, name):
 
 
 def test_only_fits_and_files_lack_an_oracle():
-    assert set(entry.queries()) - set(ORACLES) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
 
 
 def test_no_result_is_empty_by_accident(spark, sf_dir):

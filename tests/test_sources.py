@@ -6,7 +6,7 @@ import pytest
 from trajecta import session
 from trajecta.plans import stages
 from trajecta.sources import provenance, shapes
-from trajecta.sources.register import read_code_list, read_register
+from trajecta.sources.register import clean_rows, read_code_list, read_register
 
 
 @pytest.fixture()
@@ -16,11 +16,79 @@ def files(tmp_path):
     return tmp_path
 
 
-@pytest.mark.parametrize("limit", [provenance.WHOLE_FILE_LIMIT, 100, 0])
-def test_fingerprints_whole_or_streamed(spark, files, limit):
-    got = {r["fichier"]: (r["octets"], r["sha256"]) for r in provenance.fingerprints(spark, str(files), limit).collect()}
-    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in files.iterdir()}
+def test_fingerprints_of_all_files(spark, files):
+    (files / "sub").mkdir()
+    for name, content in (("sub/a.bin", b"other"), ("empty.bin", b""), ("_SUCCESS", b""), (".hidden", b"h")):
+        (files / name).write_bytes(content)
+    got = {r["fichier"]: (r["octets"], r["sha256"]) for r in provenance.fingerprints(spark, str(files)).collect()}
+    names = ("a.bin", "b.bin", "c.bin", "sub/a.bin", "empty.bin")
+    want = {n: ((files / n).stat().st_size, hashlib.sha256((files / n).read_bytes()).hexdigest()) for n in names}
     assert got == want
+    (one,) = provenance.fingerprints(spark, str(files / "a.bin")).collect()
+    assert (one["fichier"], one["octets"]) == ("a.bin", 5000)
+    (none,) = provenance.fingerprints(spark, str(files / "empty.bin")).collect()
+    assert none["sha256"] == hashlib.sha256(b"").hexdigest()
+    assert provenance.fingerprints(spark, str(files / "absent")).count() == 0
+
+
+def _declared(spark, *rows):
+    return spark.createDataFrame(
+        [(n, 2025, "u", f, None) for n, f in rows],
+        "nom string, millesime int, url string, fichier string, date_telechargement string",
+    )
+
+
+def test_a_folder_is_a_source_of_all_its_files(spark, files):
+    (files / "parts").mkdir()
+    for k in range(3):
+        (files / "parts" / f"part-{k}").write_bytes(b"p" * (k + 1))
+    found = provenance.fingerprints(spark, str(files))
+    entries = provenance.manifest_entries(found, _declared(spark, ("big", "parts"), ("one", "b.bin")))
+    assert {(r["nom"], r["fichier"], r["octets"]) for r in entries.collect()} == {
+        ("big", "parts/part-0", 1), ("big", "parts/part-1", 2), ("big", "parts/part-2", 3), ("one", "b.bin", 1),
+    }
+
+
+def test_sources_that_lose_their_file_stop_the_stage(spark, files, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("out") / "manifest")
+    declared = _declared(spark, ("first", "a.bin"), ("second", "c.bin"))
+    assert stages.run_sources(spark, declared, str(files), path)
+    (files / "a.bin").write_bytes(b"")
+    with pytest.raises(ValueError, match=r"without content: first \(a.bin\)"):
+        stages.run_sources(spark, declared, str(files), path)
+    with pytest.raises(FileNotFoundError, match="first"):
+        stages.check_sources(spark, path, first=str(files / "a.bin"))
+    (files / "a.bin").unlink()
+    (files / "c.bin").unlink()
+    with pytest.raises(ValueError, match=r"first \(a.bin\), second \(c.bin\)"):
+        stages.run_sources(spark, declared, str(files), path)
+    # The manifest still knows both, so other content does not pass as a first run.
+    assert provenance.read_manifest(spark, path).count() == 2
+    (files / "a.bin").write_bytes(b"altered")
+    with pytest.raises(ValueError, match="first: expected"):
+        stages.check_sources(spark, path, first=str(files / "a.bin"))
+
+
+def test_a_single_stage_refuses_an_altered_register(spark, tmp_path, monkeypatch):
+    from trajecta import __main__ as cli
+
+    spark.range(3).write.parquet(str(tmp_path / "register"))
+    (tmp_path / "declared.csv").write_text("nom,millesime,url,fichier,date_telechargement\nprenoms,2025,u,register,\n")
+
+    def call(*args):
+        monkeypatch.setattr("sys.argv", ["trajecta", *args])
+        cli.main()
+
+    manifest = str(tmp_path / "manifest")
+    call("sources", "--declared", str(tmp_path / "declared.csv"), "--folder", str(tmp_path), "--manifest", manifest)
+    part = next((tmp_path / "register").glob("part-*"))
+    part.write_bytes(part.read_bytes() + b"x")
+    (tmp_path / "register" / f".{part.name}.crc").unlink()
+    stage = ["--register", str(tmp_path / "register"), "--out", str(tmp_path / "out"), "--manifest", manifest]
+    with pytest.raises(ValueError, match="prenoms: expected"):
+        call("national", *stage)
+    with pytest.raises(SystemExit):
+        call("geography", *stage)
 
 
 ENTRY = ("nom string, millesime int, url string, fichier string, octets bigint, sha256 string,"
@@ -101,6 +169,28 @@ def test_code_list_keeps_text_and_ignores_extra_columns(spark, tmp_path):
     assert rows == [("01", "Ain, l'", "01"), ("2A", "Corse", "94")]
 
 
+REGISTER = "niveau_geographique string, geographie string, sexe string, prenom string, periode string, valeur string, rang int"
+
+
+@pytest.mark.parametrize("level", ["DEP", "FRANCE"])
+def test_values_that_do_not_fit_are_refused_and_sentinels_dropped(spark, level):
+    good = (level, "01", "1", "ANNE", "1999", "5", 1)
+
+    def rows(*extra):
+        return clean_rows(spark.createDataFrame([good, *extra], REGISTER), level).collect()
+
+    dropped = [(level, "01", "1", "ANNE", "XXXX", "5", 1), (level, "01", "X", "_RARE", "40000", "5", 1)]
+    other = [("REG", "01", "X", "ANNE", "40000", "5", 1)]
+    assert [tuple(r) for r in rows(*dropped, *other)] == [(1, "ANNE", 1999, "01", 5, 1)]
+    for fate, bad in (
+        ("bad_period", (level, "01", "1", "ANNE", "40000", "5", 1)),
+        ("bad_group", (level, "01", "X", "ANNE", "1999", "5", 1)),
+        ("bad_count", (level, "01", "1", "ANNE", "1999", "many", 1)),
+    ):
+        with pytest.raises(Exception, match=f"refused: {fate}"):
+            rows(bad)
+
+
 def test_register_without_a_column_is_refused(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "r"))
     with pytest.raises(ValueError, match="lacks the columns niveau_geographique"):

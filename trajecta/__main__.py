@@ -8,27 +8,45 @@ from pyspark.sql import SparkSession
 
 from trajecta.config import Settings
 from trajecta.plans import stages
+from trajecta.sources.provenance import read_declared
 from trajecta.sources.register import read_code_list, read_register
 from trajecta.sources.store import TableStore
 
-STAGES = ("all", "national", "trajectories", "archetypes", "geography", "verify", "report")
+STAGES = ("sources", "all", "national", "trajectories", "archetypes", "geography", "verify", "report")
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="trajecta", description=__doc__)
     parser.add_argument("stage", choices=STAGES)
-    parser.add_argument("--register", required=True, help="register in Parquet")
-    parser.add_argument("--codes", required=True, help="territory code list in CSV")
-    parser.add_argument("--out", required=True, help="folder of the exported tables")
-    parser.add_argument("--manifest", help="manifest the sources are checked against")
+    parser.add_argument("--register", help="register in Parquet")
+    parser.add_argument("--codes", help="territory code list in CSV")
+    parser.add_argument("--out", help="folder of the exported tables")
+    parser.add_argument("--manifest", help="manifest the sources are checked against, or that sources writes")
+    parser.add_argument("--declared", help="CSV of declared sources: nom, millesime, url, fichier, date_telechargement")
+    parser.add_argument("--folder", help="folder of the landed source files")
     parser.add_argument("--landing", help="folder for a copy of the register by level")
     parser.add_argument("--vintage", type=int, default=Settings.vintage)
     parser.add_argument("--threshold", type=int, default=Settings.threshold)
     args = parser.parse_args()
+    needed = {
+        "sources": ("declared", "folder", "manifest"), "all": ("register", "codes", "out"), "national": ("register", "out"),
+        "geography": ("register", "codes", "out"), "verify": ("register", "out"),
+    }.get(args.stage, ("out",))
+    if lacking := [f"--{name}" for name in needed if not getattr(args, name)]:
+        parser.error(f"{args.stage} needs {', '.join(lacking)}")
 
     spark = SparkSession.builder.appName(f"trajecta {args.stage}").getOrCreate()
     settings = Settings(vintage=args.vintage, threshold=args.threshold)
+    if args.stage == "sources":
+        declared = read_declared(spark, args.declared)
+        written = stages.run_sources(spark, declared, args.folder, args.manifest)
+        print("manifest written" if written else "nothing changed")
+        return
     store = TableStore(spark, args.out)
+    # Each stage that reads a source checks it first; "all" does so itself.
+    reads = {"national": {"prenoms": args.register}, "geography": {"prenoms": args.register, "departements": args.codes}}
+    if args.manifest and args.stage in reads:
+        stages.check_sources(spark, args.manifest, **reads[args.stage])
     if args.stage == "all":
         rows = stages.run(
             spark, args.register, args.codes, args.out, settings, args.manifest, args.landing

@@ -213,11 +213,13 @@ def fit_many(points: DataFrame, scale: Scale, groups: int, restarts: int, seed:
                     moved = np.where(weight > 0, found[:, :, 1:-1] / weight, runs[draw][at])
                 shift = np.sqrt(((moved - runs[draw][at]) ** 2).sum(axis=(1, 2)))
                 runs[draw][at] = moved
-                costs[draw][at] = found[:, :, -1].sum(axis=1)
                 active[draw] = at[shift > tolerance]
             active = {d: a for d, a in active.items() if len(a)}
             if not active:
                 break
+        # The centres have moved since their costs were measured.
+        for draw, found in _cluster_sums(prepared, axes, runs).items():
+            costs[draw] = found[:, :, -1].sum(axis=1)
     finally:
         prepared.unpersist()
     models = {}

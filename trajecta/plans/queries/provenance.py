@@ -17,12 +17,13 @@ def file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a source; the English ones count as freshly downloaded."""
+    """Each document as a source; the English ones count as freshly downloaded, and the first
+    one is declared but has no file."""
     fresh = F.when(F.col("lang") == "en", "2026-01-02T00:00:00+00:00")
     return obs.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("nom"),
-        F.octet_length("text").cast("long").alias("octets"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"),
+        F.when(F.col("doc_id") > 0, F.octet_length("text").cast("long")).alias("octets"),
+        F.when(F.col("doc_id") > 0, F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha256"),
         fresh.alias("date_telechargement"),
     )
 
@@ -41,7 +42,8 @@ def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MANIFESTS = """
 current_ AS (
-  SELECT CAST(doc_id AS VARCHAR) AS nom, CAST(strlen(text) AS BIGINT) AS octets, sha256(text) AS sha256,
+  SELECT CAST(doc_id AS VARCHAR) AS nom, CASE WHEN doc_id > 0 THEN CAST(strlen(text) AS BIGINT) END AS octets,
+         CASE WHEN doc_id > 0 THEN sha256(text) END AS sha256,
          CASE WHEN lang = 'en' THEN '2026-01-02T00:00:00+00:00' END AS date_telechargement
   FROM documents),
 previous_ AS (
@@ -76,7 +78,7 @@ def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "provenance_status",
     f"""WITH {_MANIFESTS}
-    SELECT c.nom, CASE WHEN p.sha256 IS NULL THEN 'unknown'
+    SELECT c.nom, CASE WHEN c.sha256 IS NULL THEN 'missing' WHEN p.sha256 IS NULL THEN 'unknown'
                        WHEN p.sha256 = c.sha256 THEN 'match' ELSE 'mismatch' END AS status
     FROM current_ c LEFT JOIN previous_ p USING (nom)""",
 )

@@ -23,6 +23,7 @@ from trajecta.sources.provenance import (
     fingerprints,
     manifest_entries,
     provenance_status,
+    require_content,
     require_provenance,
     save_manifest,
     stored_manifest,
@@ -307,6 +308,7 @@ def run_sources(spark: SparkSession, declared: DataFrame, folder: str, manifest_
     """Measure the landed files and bring the manifest up to date; True if it was written."""
     old = stored_manifest(spark, manifest_path)
     current = manifest_entries(fingerprints(spark, folder), declared)
+    require_content(current)
     return save_manifest(upsert_manifest(current, old), old, manifest_path)
 
 
@@ -319,7 +321,7 @@ def check_sources(spark: SparkSession, manifest_path: str, **paths: str) -> None
     manifest = stored_manifest(spark, manifest_path)
     for name, path in paths.items():
         found = fingerprints(spark, path).withColumn("nom", F.lit(name))
-        if found.isEmpty():
+        if found.filter("octets > 0").isEmpty():
             raise FileNotFoundError(f"{name}: no content under {path}")
         require_provenance(provenance_status(found, manifest))
 

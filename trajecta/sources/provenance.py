@@ -3,79 +3,91 @@
 from __future__ import annotations
 
 import hashlib
-import sys
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.session import materialise
 
-# Tasks get the functions of this module with the closure: it need not be installed there.
-register_pickle_by_value(sys.modules[__name__])
-
 MANIFEST = (
     "sources array<struct<nom:string,millesime:int,url:string,fichier:string,"
     "octets:bigint,sha256:string,date_telechargement:string>>"
 )
 ENTRY = ("nom", "millesime", "url", "fichier", "octets", "sha256", "date_telechargement")
 
-# A file up to this size is hashed as one binary value; a larger one is streamed.
-WHOLE_FILE_LIMIT = 256 * 1024 * 1024
-_BLOCK = 1 << 20
-
-
-def _stream_hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 of each listed file in blocks, so memory does not grow with the file."""
-    from pyarrow import fs
+EMPTY_HASH = hashlib.sha256(b"").hexdigest()
 
-    def digest(uri: str) -> str:
-        system, path = fs.FileSystem.from_uri(uri)
-        total = hashlib.sha256()
-        with system.open_input_stream(path) as stream:
-            while block := stream.read(_BLOCK):
-                total.update(block)
-        return total.hexdigest()
 
-    for batch in batches:
-        yield batch.assign(sha256=[digest(uri) for uri in batch["path"]])
+def _listing(spark: SparkSession, path: str) -> list[tuple]:
+    """Every file under ``path``, or the file itself, as Spark's storage layer lists it.
 
-
-def fingerprints(spark: SparkSession, path: str, limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
+    Files and folders whose names start with ``_`` or ``.`` are left out, as Spark leaves them
+    out when it reads.  ``fichier`` is the path below ``path``, so equal names in two folders
+    stay apart.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    root = system.resolvePath(root)
+    base = root.toUri().getPath().rstrip("/")
+    rows, files = [], system.listFiles(root, True)
+    while files.hasNext():
+        status = files.next()
+        uri = status.getPath().toUri()
+        below = uri.getPath()[len(base) :].lstrip("/")
+        if any(part[0] in "_." for part in below.split("/") if part):
+            continue
+        rows.append((uri.toString(), below or status.getPath().getName(), status.getLen(), status.getModificationTime()))
+    return rows
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """Path, name, size, SHA-256 and modification time of every file under ``path``.
 
-    Files are spread over the tasks.  The size filter reaches the reader, which then never
-    opens the content of a file that is too big for one value.  Empty files are not listed:
-    Spark's file sources skip them.
+    The listing comes from the storage layer and holds empty files as well.  Contents are hashed
+    in the tasks, one file after another, in the same way whatever their size; Spark refuses, by
+    name, a file too large for one value (2 GB), which sources split into parts do not reach.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    base = ["path", "length", "modificationTime"]
-    small = files.filter(F.col("length") <= limit).select(
-        *base, F.sha2("content", 256).alias("sha256")
+    rows = [(uri, name, size, ms / 1000.0) for uri, name, size, ms in _listing(spark, path)]
+    listed = spark.createDataFrame(rows, "path string, fichier string, octets bigint, seconds double").select(
+        "path", "fichier", "octets", F.col("seconds").cast("timestamp").alias("modified")
     )
-    large = (
-        files.select(*base)
-        .filter(F.col("length") > limit)
-        .repartition("path")
-        .mapInPandas(_stream_hash, "path string, length bigint, modificationTime timestamp, sha256 string")
-    )
-    return small.unionByName(large).select(
-        F.substring_index("path", "/", -1).alias("fichier"),
-        F.col("length").alias("octets"),
-        "sha256",
-        F.col("modificationTime").alias("modified"),
+    if any(size for _, _, size, _ in rows):
+        content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        hashed = content.select(_location(F.col("path")).alias("at"), F.sha2("content", 256).alias("hash"))
+    else:
+        hashed = spark.createDataFrame([], "at string, hash string")
+    whole = listed.join(hashed, _location(F.col("path")) == F.col("at"), "left")
+    return whole.select(
+        "fichier",
+        "octets",
+        F.when(F.col("octets") == 0, F.lit(EMPTY_HASH)).otherwise(F.col("hash")).alias("sha256"),
+        "modified",
         "path",
     )
 
 
+def _location(uri: Column) -> Column:
+    """Path of a file without scheme and authority, which layers write in different ways."""
+    return F.regexp_replace(uri, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per source of a manifest document."""
     return spark.read.schema(MANIFEST).json(path, multiLine=True).select(F.inline("sources"))
 
 
+def read_declared(spark: SparkSession, path: str) -> DataFrame:
+    """Declared sources from a CSV with a header; an empty date is null."""
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    return raw.select(
+        "nom", F.col("millesime").cast("int").alias("millesime"), "url", "fichier", "date_telechargement"
+    )
+
+
 def manifest_document(entries: DataFrame) -> DataFrame:
     """The manifest as one JSON document; its size is the number of declared sources."""
     rows = F.array_sort(F.collect_list(F.struct(*ENTRY)))
@@ -96,9 +108,26 @@ def manifest_entries(found: DataFrame, declared: DataFrame) -> DataFrame:
     """Declared sources with the size and hash measured on their files.
 
     ``declared`` has nom, millesime, url, fichier and date_telechargement (null for a file
-    that was already there).
+    that was already there).  A ``fichier`` that is a folder gives an entry for each file below
+    it.  Every declared source comes back; one without a file has neither size nor hash.
     """
-    return declared.join(found.select("fichier", "octets", "sha256"), "fichier").select(*ENTRY)
+    parts = F.split("file", "/")
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    below = found.select(F.col("fichier").alias("file"), "octets", "sha256")
+    below = below.withColumn("fichier", F.explode(upto))
+    return (
+        declared.join(below, "fichier", "left")
+        .withColumn("fichier", F.coalesce("file", "fichier"))
+        .select(*ENTRY)
+    )
+
+
+def require_content(entries: DataFrame) -> None:
+    """Stop if a declared source has no file or an empty one, naming each."""
+    bare = entries.filter("sha256 IS NULL OR octets = 0").select("nom", "fichier").distinct().orderBy("nom", "fichier")
+    names = [f"{r['nom']} ({r['fichier']})" for r in bare.collect()]  # declared sources at most
+    if names:
+        raise ValueError(f"declared sources without content: {', '.join(names)}")
 
 
 def save_manifest(entries: DataFrame, old: DataFrame, path: str) -> bool:
@@ -134,14 +163,16 @@ def manifest_changes(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def provenance_status(found: DataFrame, manifest: DataFrame, key: str = "nom") -> DataFrame:
-    """``match``, ``mismatch``, or ``unknown`` where the manifest does not know the source.
+    """``match``, ``mismatch``, ``missing`` for a source without a file, or ``unknown`` where the
+    manifest does not know it.
 
     A source of several files has one manifest entry per file; each file must match one.
     """
     known = manifest.groupBy(key).agg(F.min("sha256").alias("expected"))
     listed = manifest.select(key, "sha256", F.lit(True).alias("_listed")).distinct()
     status: Column = (
-        F.when(F.col("expected").isNull(), "unknown")
+        F.when(F.col("sha256").isNull(), "missing")
+        .when(F.col("expected").isNull(), "unknown")
         .when(F.col("_listed"), "match")
         .otherwise("mismatch")
     )
@@ -154,8 +185,15 @@ def provenance_status(found: DataFrame, manifest: DataFrame, key: str = "nom") -
 
 
 def require_provenance(status: DataFrame, key: str = "nom") -> None:
-    """Stop on an altered source; an unknown one passes, so a first run is possible."""
-    wrong = status.filter("status = 'mismatch'").select(key, "expected", "sha256").take(5)
-    if wrong:
-        lines = "; ".join(f"{r[0]}: expected {r[1]}, found {r[2]}" for r in wrong)
+    """Stop on an altered or missing source; an unknown one passes, so a first run is possible.
+
+    The error counts all that is wrong and names the sources.
+    """
+    wrong = status.filter("status IN ('mismatch', 'missing')")
+    by_source = wrong.groupBy(key).agg(
+        F.count("*").alias("files"), F.min("expected").alias("expected"), F.min("sha256").alias("found")
+    )
+    rows = by_source.orderBy(key).collect()  # sources at most
+    if rows:
+        lines = "; ".join(f"{r[key]}: expected {r['expected']}, found {r['found']} ({r['files']} files)" for r in rows)
         raise ValueError(f"source does not match the manifest: {lines}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,25 +43,54 @@ def read_code_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_PERIOD = "try_cast(periode AS INT)"
+_GROUP = "try_cast(sexe AS SMALLINT)"
+
+
+def row_fate() -> Column:
+    """What the reading of a level does with a row.
+
+    ``no_period`` (a period that is no number) and ``rare`` (a bucket of rare names, which
+    starts with an underscore) are dropped.  ``bad_period`` (a number that is no year),
+    ``bad_group`` and ``bad_count`` are refused.  Everything else is ``kept``.
+    """
+    period, group = F.expr(_PERIOD), F.expr(_GROUP)
+    return (
+        F.when(period.isNull(), "no_period")
+        .when(F.col("prenom").startswith("_"), "rare")
+        .when(~period.between(-32768, 32767), "bad_period")
+        .when(group.isNull(), "bad_group")
+        .when(F.expr("try_cast(valeur AS BIGINT)").isNull(), "bad_count")
+        .otherwise("kept")
+    )
+
+
 def clean_rows(register: DataFrame, level: str) -> DataFrame:
     """Rows of one geographic level, renamed and typed.
 
-    The level filter is vital: region codes also occur as department codes.  The other two
-    drop periods that are not numbers and the buckets of rare names, which start with an
-    underscore.  ``try_cast`` is used for the value as well, since the optimizer may
-    evaluate it before the filter.
+    The level filter is vital: region codes also occur as department codes.  Rows that
+    ``row_fate`` drops are gone; one that it refuses stops the query and is named, since a
+    silent null would be exported.
     """
-    period = F.expr("try_cast(periode AS INT)")
-    return register.filter(
-        (F.col("niveau_geographique") == level)
-        & period.isNotNull()
-        & ~F.col("prenom").startswith("_")
-    ).select(
-        F.expr("try_cast(sexe AS SMALLINT)").alias("grp"),
+    fate = row_fate()
+    refused = F.raise_error(
+        F.concat_ws(
+            " ", F.lit("register row refused:"), fate, "niveau_geographique", "geographie", "sexe", "prenom",
+            F.col("periode").cast("string"), F.col("valeur").cast("string"),
+        )
+    )
+
+    def strict(value: str) -> Column:
+        """``value`` of a kept row; rows to be dropped may be met before the filter."""
+        wrong = (F.col("niveau_geographique") == level) & fate.startswith("bad_")
+        return F.when(wrong, refused).otherwise(F.expr(value))
+
+    return register.filter((F.col("niveau_geographique") == level) & ~fate.isin("no_period", "rare")).select(
+        strict(_GROUP).cast(T.ShortType()).alias("grp"),
         F.col("prenom").alias("entity"),
-        F.expr("try_cast(periode AS SMALLINT)").alias("period"),
+        strict("try_cast(periode AS SMALLINT)").cast(T.ShortType()).alias("period"),
         F.col("geographie").alias("territory"),
-        F.col("valeur").cast(T.LongType()).alias("n"),
+        strict("try_cast(valeur AS BIGINT)").cast(T.LongType()).alias("n"),
         F.col("rang").cast(T.IntegerType()).alias("rank"),
     )
 
