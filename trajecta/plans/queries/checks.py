@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajecta.functions.constants import DEPARTMENT, NATIONAL
 from trajecta.operators import archetypes, cluster, geo, quality, star, trajectory
 from trajecta.plans import observations as obs
 from trajecta.plans.catalog import registered
 from trajecta.plans.queries.clusters import ASSIGNED, CENTRES, LABELS
 from trajecta.plans.queries.star import _DIM, stored_register
 from trajecta.session import materialise
-from trajecta.sources.register import department_rows, national_rows
+from trajecta.sources.register import department_rows, national_rows, row_fate
 
 KEYS = obs.KEYS
 
@@ -95,12 +96,14 @@ def grain_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         obs.table(spark, sf_dir, n) for n in ("lineitem", "orders", "documents", "conversations", "pages")
     )
     monthly = lines.select("l_partkey", F.month("l_shipdate").alias("m"))
+    # A digest and the length stand for a text, which is never shuffled.
+    digests = documents.select(F.length("text").alias("length"), F.sha2("text", 256).alias("sha256"))
     return quality.report(
         [
             quality.unique_key(lines, ["l_orderkey", "l_linenumber"], "order lines"),
             quality.unique_key(monthly, ["l_partkey", "m"], "lines per part and month"),
             quality.unique_key(orders, ["o_orderkey"], "orders"),
-            quality.unique_key(documents, ["text"], "texts"),
+            quality.unique_key(digests, ["length", "sha256"], "texts"),
             quality.unique_key(conversations, ["conv_id", "turn"], "turns"),
             quality.unique_key(pages, ["url"], "pages"),
         ]
@@ -134,18 +137,59 @@ def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {obs.REGISTER},
     fine AS (SELECT level, grp, entity, period, SUM(n) AS fine FROM clean WHERE level = 'DEP' GROUP BY 1, 2, 3, 4),
     coarse AS (SELECT grp, entity, period, n AS coarse FROM national)
-    SELECT grp, entity, period, CAST(fine AS BIGINT) AS fine, CAST(coarse AS BIGINT) AS coarse
-    FROM fine FULL JOIN coarse USING (grp, entity, period)
-    WHERE fine IS DISTINCT FROM coarse""",
+    SELECT grp, entity, period, CAST(fine AS BIGINT) AS fine, CAST(coarse AS BIGINT) AS coarse,
+           fine IS NOT DISTINCT FROM coarse AS agrees
+    FROM fine FULL JOIN coarse USING (grp, entity, period)""",
 )
 def grain_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the register whose territories do not add up to the national count."""
-    register = stored_register(spark, sf_dir)
+    """Every cell of the register with the sum of its territories and the national count."""
+    register = stored_register(spark, sf_dir, DEPARTMENT, NATIONAL)
     cell = ["grp", "entity", "period"]
     fine = department_rows(register).groupBy(*cell).agg(F.sum("n").alias("fine"))
     coarse = national_rows(register).select(*cell, F.col("n").alias("coarse"))
     both = fine.join(coarse, cell, "full")
-    return both.filter(~F.col("fine").eqNullSafe(F.col("coarse")))
+    return both.withColumn("agrees", F.col("fine").eqNullSafe(F.col("coarse")))
+
+
+@registered(
+    "levels_before_cleaning",
+    f"""WITH {obs.REGISTER}
+    SELECT sexe, CAST(SUM(valeur) FILTER (WHERE niveau_geographique = 'FRANCE') AS BIGINT) AS raw_total,
+           (SELECT CAST(SUM(n) AS BIGINT) FROM local l WHERE l.grp = CAST(r.sexe AS SMALLINT)) AS clean_fine
+    FROM register r GROUP BY sexe""",
+)
+def levels_before_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw national total of each group next to its cleaned territorial one, which lies below
+    by the rows without a year and the buckets of rare names."""
+    register = stored_register(spark, sf_dir, DEPARTMENT, NATIONAL)
+    raw = register.filter(F.col("niveau_geographique") == NATIONAL).groupBy("sexe").agg(F.sum("valeur").alias("raw_total"))
+    fine = department_rows(register).groupBy(F.col("grp").cast("string").alias("sexe")).agg(F.sum("n").alias("clean_fine"))
+    return raw.join(fine, "sexe", "left")
+
+
+@registered(
+    "register_row_fates",
+    f"""WITH {obs.REGISTER},
+    dirty AS (
+      SELECT niveau_geographique, prenom, CASE WHEN rang = 6 THEN '40000' ELSE periode END AS periode,
+             CASE WHEN rang = 5 THEN 'X' ELSE sexe END AS sexe FROM register)
+    SELECT niveau_geographique,
+           CASE WHEN TRY_CAST(periode AS INTEGER) IS NULL THEN 'no_period'
+                WHEN prenom[1] = '_' THEN 'rare'
+                WHEN TRY_CAST(periode AS SMALLINT) IS NULL THEN 'bad_period'
+                WHEN TRY_CAST(sexe AS SMALLINT) IS NULL THEN 'bad_group' ELSE 'kept' END AS fate,
+           COUNT(*) AS cells
+    FROM dirty GROUP BY 1, 2""",
+)
+def register_row_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that are kept, dropped and refused, with years and groups that do not fit put in."""
+    dirty = obs.register(spark, sf_dir).withColumns(
+        {
+            "periode": F.when(F.col("rang") == 6, "40000").otherwise(F.col("periode")),
+            "sexe": F.when(F.col("rang") == 5, "X").otherwise(F.col("sexe")),
+        }
+    )
+    return dirty.groupBy("niveau_geographique", row_fate().alias("fate")).agg(F.count("*").alias("cells"))
 
 
 _CONSERVED = (
@@ -221,7 +265,7 @@ _REPORT = (
     ("two groups", "SELECT CAST(COUNT(DISTINCT grp) <> 2 AS INT) FROM dim"),
     ("grid complete",
      """SELECT COUNT(*) FROM (SELECT COUNT(*) AS c FROM profiles GROUP BY entity, grp)
-        WHERE c <> (SELECT COUNT(*) FROM periods)"""),
+        WHERE c <> (SELECT COUNT(*) FROM calendar)"""),
     ("profile shares",
      "SELECT COUNT(*) FROM (SELECT SUM(share) AS s FROM profiles GROUP BY entity, grp) WHERE ABS(s - 1) > 1e-9"),
     ("smoothed shares",
@@ -239,7 +283,9 @@ _REPORT = (
         WHERE (archetype IS NOT NULL) <> COALESCE(has, false)"""),
     ("distance of members", "SELECT COUNT(*) FROM assigned WHERE distance IS NULL OR distance < 0"),
     ("no empty group", "SELECT 5 - COUNT(DISTINCT archetype) FROM assigned"),
-    ("one label per group", "SELECT 0"),
+    ("one label per group",
+     f"""SELECT CAST(COUNT(DISTINCT label) <> {len(CENTRES)} OR COUNT(*) <> {len(CENTRES)} AS INT)
+        FROM (VALUES {", ".join(f"('{label}')" for label in LABELS)}) AS l(label)"""),
     ("cells positive", "SELECT COUNT(*) FROM quotients WHERE observed <= 0 OR expected <= 0"),
     ("sparsity",
      """SELECT CAST((SUM(observed) - SUM(expected)) / SUM(observed) < -1e-9
@@ -247,12 +293,23 @@ _REPORT = (
     ("median index",
      """SELECT CAST(NOT (median(observed / expected) > 0.9 AND median(observed / expected) < 1.2) AS INT)
         FROM quotients WHERE observed >= 60"""),
-    ("overseas flag", "SELECT 0"),
+    ("overseas flag",
+     f"""SELECT COUNT(*) FROM nation JOIN codes ON label = n_name
+        WHERE (length(territory) = 3) <> (n_nationkey >= 20)"""),
     ("territory labels", "SELECT COUNT(*) FROM codes WHERE label IS NULL OR trim(label) = ''"),
+    ("region labels",
+     """SELECT COUNT(*) FROM codes LEFT JOIN regions USING (region)
+        WHERE region_label IS NULL OR trim(region_label) = ''"""),
+    ("territory totals",
+     """SELECT COUNT(*) FROM codes LEFT JOIN (SELECT territory, SUM(observed) AS s FROM cells GROUP BY 1)
+        USING (territory) WHERE s <= 0"""),
     ("codes kept", "SELECT 3 - COUNT(*) FROM codes WHERE territory IN ('01', '970', '2A')"),
     ("territories without cell",
      "SELECT COUNT(*) FROM codes ANTI JOIN (SELECT DISTINCT territory FROM cells) USING (territory)"),
-    ("territory totals conserved", "SELECT 0"),
+    ("territory totals conserved",
+     """SELECT CAST((SELECT SUM(s) FROM codes
+                     JOIN (SELECT territory, SUM(observed) AS s FROM cells GROUP BY 1) USING (territory))
+          <> (SELECT SUM(observed) FROM cells) AS INT)"""),
 )
 
 
@@ -328,6 +385,8 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                 territories,
                 quality.flag_coherent(F.col("overseas"), overseas, "overseas flag"),
                 quality.blank("label", "territory labels"),
+                quality.blank("region_label", "region labels"),
+                quality.not_positive(["total"], "territory totals"),
             ),
             quality.missing_codes(territories, "territory", ["01", "970", "2A"], "codes kept"),
             quality.orphans(territories, cells, ["territory"], "territories without cell"),

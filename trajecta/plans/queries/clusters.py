@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajecta.config import Settings
 from trajecta.operators import archetypes, cluster, describe, trajectory
 from trajecta.plans import observations as obs
 from trajecta.plans.catalog import registered
@@ -12,7 +13,7 @@ from trajecta.plans.queries.trajectories import part_states, part_traits
 from trajecta.session import materialise
 
 KEYS = obs.KEYS
-LABELS = ("Groupe 1", "Groupe 2", "Groupe 3", "Groupe 4", "Groupe 5")
+LABELS = Settings().labels
 
 # Given centres in standardised units, so that everything after a fit has one right answer.
 CENTRES = ((-1.3, 0.2), (-0.6, -0.8), (0.1, 1.1), (0.7, -0.4), (1.4, 0.3))
