@@ -257,3 +257,42 @@ def test_other_faults_fire(t, spark):
 def test_settings_need_one_label_per_group():
     with pytest.raises(ValueError, match="5 labels for 4 groups"):
         Settings(groups=4)
+
+
+def _files_below(folder):
+    return [p for p in folder.rglob("*") if p.is_file()]
+
+
+def test_a_stage_writes_its_tables_once_and_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    from trajecta import session
+
+    written = []
+    materialise = session.materialise
+    scratch = tmp_path / "scratch"
+    monkeypatch.setattr(session, "scratch_dir", lambda _: str(scratch))
+    monkeypatch.setattr(stages.TableStore, "stage", lambda self, t, f=stages.TableStore.stage: written.append(sorted(t)) or f(self, t))
+    source = spark.createDataFrame(
+        [("FRANCE", "XX", "1", "ANNE", str(y), 10, 1) for y in range(1990, 2000)],
+        "niveau_geographique string, geographie string, sexe string, prenom string, periode string, valeur long, rang int",
+    )
+    store = stages.TableStore(spark, str(tmp_path / "out"))
+    assert materialise is session.materialise
+    stages.run_national(store, source)
+    assert written == [["d_annee", "d_prenom", "d_sexe", "f_naissances"]]
+    assert not scratch.exists() or not _files_below(scratch)
+    before = {p.name for p in (tmp_path / "out").iterdir()}
+    assert before == {"d_annee", "d_prenom", "d_sexe", "f_naissances"}
+    # A failing gate publishes nothing and leaves nothing behind.
+    sentinel = spark.createDataFrame([("FRANCE", "XX", "1", "ANNE", "XXXX", 10, 1)], source.schema)
+    with pytest.raises(Exception, match="conserved"):
+        stages.run_national(store, source.union(sentinel))
+    assert {p.name for p in (tmp_path / "out").iterdir()} == before
+    assert not scratch.exists() or not _files_below(scratch)
+
+
+def test_the_gate_fires_only_on_a_broken_rule(spark):
+    fine = spark.createDataFrame([("a", 0)], "check string, violations long")
+    broken = spark.createDataFrame([("b", 3)], "check string, violations long")
+    stages.quality.gate(stages.quality.report([fine]))
+    with pytest.raises(Exception, match="b"):
+        stages.quality.gate(stages.quality.report([fine, broken]))

@@ -257,55 +257,53 @@ def assign(df: DataFrame, model: Archetypes) -> DataFrame:
     )
 
 
-def _distance_sums(points: DataFrame, chunk: pd.DataFrame, axes: list[str], group: str) -> DataFrame:
-    """For each point and each group, the weighted sum of distances to the chunk's points."""
-    spark = points.sparkSession
-    labels, owner = np.unique(chunk[group].to_numpy(), return_inverse=True)
-    weights = np.zeros((len(chunk), len(labels)))
-    weights[np.arange(len(chunk)), owner] = chunk["weight"].to_numpy(float)
-    shared = spark.sparkContext.broadcast((chunk[axes].to_numpy(float), weights, labels))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        others, mass, names = shared.value
-        for batch in batches:
-            here = batch[axes].to_numpy(float)
-            # A few rows at a time keep the distance block small whatever the batch size.
-            blocks = [
-                np.sqrt(((here[i : i + 32, None, :] - others[None, :, :]) ** 2).sum(axis=2)) @ mass
-                for i in range(0, len(here), 32)
-            ]
-            if not blocks:
-                continue
-            sums = np.concatenate(blocks)
-            for j, name in enumerate(names):
-                yield batch[["point", group, "weight"]].assign(other=name, total=sums[:, j])
-
-    kind = points.schema[group].dataType.simpleString()
-    return points.mapInPandas(
-        measure, f"point bigint, {group} {kind}, weight bigint, other {kind}, total double"
+def _distance_sums(mine: pd.DataFrame, theirs: pd.DataFrame, axes: list[str], group: str) -> pd.DataFrame:
+    """For each point of one block and each group, the weighted sum of distances to the points
+    of the other block."""
+    names, owner = np.unique(theirs[group].to_numpy(), return_inverse=True)
+    mass = np.zeros((len(theirs), len(names)))
+    mass[np.arange(len(theirs)), owner] = theirs["weight"].to_numpy(float)
+    here, others = mine[axes].to_numpy(float), theirs[axes].to_numpy(float)
+    # A few rows at a time keep the distances small whatever the block.
+    sums = np.concatenate(
+        [
+            np.sqrt(((here[i : i + 32, None, :] - others[None, :, :]) ** 2).sum(axis=2)) @ mass
+            for i in range(0, len(here), 32)
+        ]
     )
+    columns = ["point", group, "weight", "other", "total"]
+    return pd.concat([mine[columns[:3]].assign(other=n, total=sums[:, j])[columns] for j, n in enumerate(names)])
 
 
 def silhouette(points: DataFrame, axes: Sequence[str], group: str = "archetype",
-               block: int = 200_000) -> DataFrame:
+               block: int = 20_000) -> DataFrame:
     """Mean Euclidean silhouette of weighted points (``axes``, ``group``, ``weight``).
 
-    Distances are needed between all points, so one block of points at a time is sent to
-    the tasks and the partial sums are added up: pairs are never built as rows, and memory
-    stays at ``block`` points however many there are.
+    Distances are needed between all points.  The distinct ones are dealt into blocks of at
+    most ``block`` and each task gets one pair of blocks, so pairs of points are never built as
+    rows, no point reaches the driver, and a task's memory does not depend on their number.
     """
     axes = list(axes)
     merged = points.groupBy(*axes, group).agg(F.sum("weight").cast("long").alias("weight"))
     stored = materialise(merged.withColumn("point", F.xxhash64(*axes, group)), "silhouette")
-    size = stored.count()
-    parts = max(1, ceil(size / block))
-    # A task handles a few million distances; by bytes alone the few rows would be merged.
-    spread = stored.repartition(max(1, ceil(size * min(size, block) / _TASK_DISTANCES)), "point")
-    pieces = []
-    for part in range(parts):
-        chunk = stored.filter(F.pmod(F.xxhash64("point"), F.lit(parts)) == part)
-        pieces.append(_distance_sums(spread, chunk.select(*axes, group, "weight").toPandas(), axes, group))
-    sums = reduce(DataFrame.unionByName, pieces)
+    # A task handles a few million distances.
+    parts = max(1, ceil(stored.count() / min(block, int(_TASK_DISTANCES**0.5))))
+    own_block = F.pmod(F.xxhash64("point"), F.lit(parts)).cast("int")
+    all_blocks = F.explode(F.expr(f"sequence(0, {parts - 1})"))
+    mine = stored.withColumn("mine", own_block).withColumn("theirs", all_blocks)
+    theirs = stored.withColumn("theirs", own_block).withColumn("mine", all_blocks)
+    kind = points.schema[group].dataType.simpleString()
+
+    def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in ("point", group, "weight", "other", "total")})
+        return _distance_sums(left, right, axes, group)
+
+    sums = (
+        mine.groupBy("mine", "theirs")
+        .cogroup(theirs.groupBy("mine", "theirs"))
+        .applyInPandas(measure, f"point bigint, {group} {kind}, weight bigint, other {kind}, total double")
+    )
     sizes = stored.groupBy(F.col(group).alias("other")).agg(F.sum("weight").alias("size"))
     own = F.col(group) == F.col("other")
     scored = (

@@ -1,14 +1,14 @@
 """The four table-building stages: compute, check, then export.
 
 Each stage hands over through the table store, so a stage can be run again alone.  Its
-tables are materialised once; the checks and the export read that copy, and nothing is
-exported when one of the stage's gate checks fails.  ``verify`` runs the gate checks again
+tables are written once, beside the published ones; the checks read that copy, which is moved to
+its name if all gate checks pass and deleted if one fails.  ``verify`` runs the gate checks again
 on the exported tables together with the wider contract of each table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from trajecta.functions.constants import DEPARTMENT, NATIONAL
 from trajecta.operators import archetypes as arch
 from trajecta.operators import cluster, describe, geo, quality, star, trajectory
 from trajecta.schemas import TABLES, from_contract, to_contract
-from trajecta.session import materialise
+from trajecta.session import materialise, scratch_scope
 from trajecta.sources.provenance import (
     fingerprints,
     manifest_entries,
@@ -41,17 +41,17 @@ from trajecta.sources.store import TableStore
 Tables = dict[str, DataFrame]
 
 
-def _staged(tables: Mapping[str, DataFrame]) -> Tables:
-    return {name: materialise(df, name) for name, df in tables.items()}
-
-
 def _load(store: TableStore, *names: str) -> list[DataFrame]:
     return [from_contract(name, store.read(name)) for name in names]
 
 
-def _export(store: TableStore, tables: Mapping[str, DataFrame], checks: list[DataFrame]) -> dict[str, int]:
-    quality.gate(quality.report(checks))
-    return store.write({name: to_contract(name, df) for name, df in tables.items()})
+def _export(store: TableStore, tables: Mapping[str, DataFrame],
+            gate: Callable[[Tables], list[DataFrame]]) -> dict[str, int]:
+    """Write each table once, check that very copy, and publish it if the gate lets it pass."""
+    with store.stage({name: to_contract(name, df) for name, df in tables.items()}) as staged:
+        copies = {name: from_contract(name, staged.read(name)) for name in tables}
+        quality.gate(quality.report(gate(copies)))
+        return staged.publish()
 
 
 # --- national ------------------------------------------------------------------------
@@ -105,8 +105,8 @@ def national_contract(t: Tables, register: DataFrame, settings: Settings) -> lis
 
 
 def run_national(store: TableStore, register: DataFrame) -> dict[str, int]:
-    tables = _staged(national_tables(register))
-    return _export(store, tables, national_gate(tables, register))
+    with scratch_scope(store.spark):
+        return _export(store, national_tables(register), lambda t: national_gate(t, register))
 
 
 # --- trajectories --------------------------------------------------------------------
@@ -150,8 +150,9 @@ def trajectory_contract(t: Tables, dim: DataFrame, settings: Settings) -> list[D
 
 def run_trajectories(store: TableStore, settings: Settings) -> dict[str, int]:
     periods, fact = _load(store, "d_annee", "f_naissances")
-    tables = _staged(trajectory_tables(fact, periods, settings))
-    return _export(store, tables, trajectory_gate(tables, periods))
+    with scratch_scope(store.spark):
+        tables = trajectory_tables(fact, periods, settings)
+        return _export(store, tables, lambda t: trajectory_gate(t, periods))
 
 
 def trajectory_report(store: TableStore, settings: Settings) -> Tables:
@@ -207,9 +208,10 @@ def archetype_contract(t: Tables, dim: DataFrame, traits: DataFrame, periods: Da
 
 def run_archetypes(store: TableStore, settings: Settings) -> dict[str, int]:
     dim, traits, profiles = _load(store, "d_prenom", "traits", "profil")
-    model = fit(traits, settings)
-    tables = _staged(archetype_tables(dim, traits, profiles, model, settings))
-    return _export(store, tables, archetype_gate(tables, dim))
+    with scratch_scope(store.spark):
+        model = fit(traits, settings)
+        tables = archetype_tables(dim, traits, profiles, model, settings)
+        return _export(store, tables, lambda t: archetype_gate(t, dim))
 
 
 def archetype_report(store: TableStore, settings: Settings) -> Tables:
@@ -289,8 +291,9 @@ def geography_contract(t: Tables, register: DataFrame, dim: DataFrame, periods:
 
 def run_geography(store: TableStore, register: DataFrame, codes: DataFrame) -> dict[str, int]:
     (dim,) = _load(store, "d_prenom")
-    tables = _staged(geography_tables(register, codes, dim))
-    return _export(store, tables, geography_gate(tables, register))
+    with scratch_scope(store.spark):
+        tables = geography_tables(register, codes, dim)
+        return _export(store, tables, lambda t: geography_gate(t, register))
 
 
 def geography_report(store: TableStore) -> Tables:
@@ -307,9 +310,10 @@ def geography_report(store: TableStore) -> Tables:
 def run_sources(spark: SparkSession, declared: DataFrame, folder: str, manifest_path: str) -> bool:
     """Measure the landed files and bring the manifest up to date; True if it was written."""
     old = stored_manifest(spark, manifest_path)
-    current = manifest_entries(fingerprints(spark, folder), declared)
-    require_content(current)
-    return save_manifest(upsert_manifest(current, old), old, manifest_path)
+    with scratch_scope(spark):
+        current = materialise(manifest_entries(fingerprints(spark, folder), declared), "entries")
+        require_content(current)
+        return save_manifest(upsert_manifest(current, old), old, manifest_path)
 
 
 # --- everything ----------------------------------------------------------------------

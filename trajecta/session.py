@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_open_scopes: list[list[str]] = []  # folders written since each scope was entered
 
 
 def local_session(cores: int | str = "*", app: str = "trajecta", **conf: str) -> SparkSession:
@@ -59,5 +62,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     fits ``spark.sql.autoBroadcastJoinThreshold`` and is shuffled otherwise.
     """
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's storage layer; one that is not there is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``materialise`` writes inside the block when it ends, also by an error.
+
+    For runs that leave their results elsewhere; a lazy DataFrame that outlives the block must
+    not read such a folder.
+    """
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scopes.pop():
+            delete_folder(spark, path)

@@ -50,14 +50,14 @@ _GROUP = "try_cast(sexe AS SMALLINT)"
 def row_fate() -> Column:
     """What the reading of a level does with a row.
 
-    ``no_period`` (a period that is no number) and ``rare`` (a bucket of rare names, which
-    starts with an underscore) are dropped.  ``bad_period`` (a number that is no year),
+    ``no_period`` (a period that is no number) and ``rare`` (no name, or a bucket of rare names,
+    which starts with an underscore) are dropped.  ``bad_period`` (a number that is no year),
     ``bad_group`` and ``bad_count`` are refused.  Everything else is ``kept``.
     """
     period, group = F.expr(_PERIOD), F.expr(_GROUP)
     return (
         F.when(period.isNull(), "no_period")
-        .when(F.col("prenom").startswith("_"), "rare")
+        .when(F.coalesce(F.col("prenom").startswith("_"), F.lit(True)), "rare")
         .when(~period.between(-32768, 32767), "bad_period")
         .when(group.isNull(), "bad_group")
         .when(F.expr("try_cast(valeur AS BIGINT)").isNull(), "bad_count")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from trajecta.session import delete_folder
+
 # Which stage writes each table; named in the error when one is missing.
 PRODUCERS = {
     "d_prenom": "national",
@@ -49,12 +52,51 @@ class TableStore:
         df.createOrReplaceTempView(table)
         return df
 
+    def stage(self, tables: Mapping[str, DataFrame]) -> Staged:
+        """Write an explicit list of tables beside the published ones; rows are counted while
+        they are written."""
+        return Staged(self, tables)
+
     def write(self, tables: Mapping[str, DataFrame]) -> dict[str, int]:
-        """Write an explicit list of tables; rows are counted while they are written."""
-        rows = {}
-        for name, df in tables.items():
-            counted = Observation(name)
-            observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
-            observed.write.mode("overwrite").parquet(self.path(name))
-            rows[name] = counted.get["rows"]
-        return rows
+        """Write and publish at once."""
+        with self.stage(tables) as staged:
+            return staged.publish()
+
+
+class Staged:
+    """Tables under a staging folder of the store, until they are published or dropped.
+
+    Used as a context: what is not published when it ends, by an error or not, is deleted.
+    """
+
+    def __init__(self, store: TableStore, tables: Mapping[str, DataFrame]) -> None:
+        self.store, self.spark = store, store.spark
+        self.folder = f"{store.root}/_staging-{uuid.uuid4().hex}"
+        self.rows: dict[str, int] = {}
+        try:
+            for name, df in tables.items():
+                counted = Observation(name)
+                df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.folder}/{name}")
+                self.rows[name] = counted.get["rows"]
+        except BaseException:
+            delete_folder(self.spark, self.folder)
+            raise
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{table}")
+
+    def publish(self) -> dict[str, int]:
+        """Move the very files that were checked to their names; nothing is copied."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        system = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in self.rows:
+            delete_folder(self.spark, self.store.path(name))
+            if not system.rename(path(f"{self.folder}/{name}"), path(self.store.path(name))):
+                raise OSError(f"could not publish {self.store.path(name)}")
+        return self.rows
+
+    def __enter__(self) -> Staged:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        delete_folder(self.spark, self.folder)
