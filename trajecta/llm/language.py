@@ -181,8 +181,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
         remainder(F.col("doc_id"), FOLDS) != HELD
     )
     order = Window.partitionBy("lang").orderBy("spot", "doc_id")
+    # First within slices of a language, so that no task sees more than the slices' first rows.
+    sliced = Window.partitionBy("lang", "slice").orderBy("spot", "doc_id")
     chosen = (
         known.select("doc_id", "lang", F.xxhash64("doc_id").alias("spot"))
+        .withColumn("slice", F.pmod(F.xxhash64("spot"), F.lit(64)))
+        .withColumn("place", F.row_number().over(sliced))
+        .filter(F.col("place") <= per_language)
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= per_language)
         .select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"), "place")
