@@ -230,6 +230,23 @@ def fit_many(points: DataFrame, scale: Scale, groups: int, restarts: int, seed:
     return models
 
 
+def lloyd(points: DataFrame, scale: Scale, starts: Sequence[Sequence[float]], passes: int) -> Archetypes:
+    """Weighted k-means from given starting centres, a given number of passes.
+
+    A centre without points stays.  Groups are numbered by the order of the final centres.
+    """
+    axes = [f"z_{c}" for c in scale.features]
+    prepared = standardise(points, scale).select(F.lit(0).alias("draw"), *axes, "weight")
+    centres = np.array([starts], float)
+    for _ in range(passes):
+        found = _cluster_sums(prepared, axes, {0: centres})[0]
+        weight = found[:, :, :1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            centres = np.where(weight > 0, found[:, :, 1:-1] / weight, centres)
+    cost = float(_cluster_sums(prepared, axes, {0: centres})[0][:, :, -1].sum())
+    return Archetypes(scale, tuple(sorted(tuple(float(v) for v in c) for c in centres[0])), cost)
+
+
 def fit_archetypes(points: DataFrame, scale: Scale, groups: int = 5, restarts: int = 20,
                    seed: int = 0) -> Archetypes:
     """The cheapest of ``restarts`` weighted k-means fits, groups numbered by epoch."""

@@ -75,6 +75,45 @@ def nearest_centre_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.select(*KEYS, "archetype", F.round("distance", 9).alias("distance"))
 
 
+PASSES = 3
+
+
+def _lloyd_sql(passes: int) -> str:
+    """One pair of common tables for each pass: who is nearest, and where the centres move."""
+    steps = [f"m0 AS (SELECT archetype AS g, cx, cy FROM (VALUES {_CENTRE_ROWS}) AS c(archetype, cx, cy))"]
+    for k in range(passes):
+        steps.append(
+            f"""n{k} AS (
+      SELECT DISTINCT ON (entity, grp) entity, grp, zx, zy, g
+      FROM scaled, m{k} ORDER BY entity, grp, (zx - cx) * (zx - cx) + (zy - cy) * (zy - cy), g),
+    m{k + 1} AS (
+      SELECT m.g, COALESCE(AVG(zx), any_value(cx)) AS cx, COALESCE(AVG(zy), any_value(cy)) AS cy
+      FROM m{k} m LEFT JOIN n{k} n ON n.g = m.g GROUP BY m.g)"""
+        )
+    return ", ".join(steps)
+
+
+@registered(
+    "kmeans_given_starts",
+    f"""WITH {ASSIGNED}, {_lloyd_sql(PASSES)},
+    cost AS (
+      SELECT SUM(d) AS cost
+      FROM (SELECT MIN((zx - cx) * (zx - cx) + (zy - cy) * (zy - cy)) AS d
+            FROM scaled, m{PASSES} GROUP BY entity, grp))
+    SELECT row_number() OVER (ORDER BY cx, cy) AS archetype, ROUND(cx, 8) AS cx, ROUND(cy, 8) AS cy,
+           ROUND(cost, 5) AS cost
+    FROM m{PASSES}, cost""",
+)
+def kmeans_given_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres after three passes from given starts, numbered by epoch, and their cost."""
+    points = cluster.weighted_points(_traits(spark, sf_dir))
+    model = cluster.lloyd(points, cluster.fit_scale(points), CENTRES, PASSES)
+    rows = [(k, x, y, model.cost) for k, (x, y) in enumerate(model.centres, 1)]
+    return spark.createDataFrame(rows, "archetype long, cx double, cy double, cost double").select(
+        "archetype", F.round("cx", 8).alias("cx"), F.round("cy", 8).alias("cy"), F.round("cost", 5).alias("cost")
+    )
+
+
 @registered("kmeans_archetypes")
 def kmeans_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted grouping: 20 starts, least cost, groups numbered by epoch."""
