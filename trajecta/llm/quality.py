@@ -19,7 +19,7 @@ from trajecta.llm.words import shingle_hashes, word_hashes
 
 FOLDS, HELD = 5, 0
 PER_CLASS = 4000  # labelled documents of each class that the model is fitted on
-PAIRS = 40_000
+PAIRS = 15_000
 CUT = 0.3  # score at the quantile
 _BINS = 12
 _RIDGE = 1e-3
