@@ -9,7 +9,7 @@ from trajecta.config import Settings
 from trajecta.operators import archetypes, cluster, describe, trajectory
 from trajecta.plans import observations as obs
 from trajecta.plans.catalog import registered
-from trajecta.plans.queries.trajectories import part_states, part_traits
+from trajecta.plans.queries.trajectories import landed_fact, part_states, part_traits
 from trajecta.session import materialise
 
 KEYS = obs.KEYS
@@ -38,8 +38,8 @@ assigned AS (
 )
 
 
-def _traits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(part_traits(spark, sf_dir), "traits")
+def _traits(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None) -> DataFrame:
+    return materialise(part_traits(spark, sf_dir, fact), "traits")
 
 
 def _given_model(traits: DataFrame) -> cluster.Archetypes:
@@ -192,7 +192,8 @@ def stability_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def archetype_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled groups and how many entities each one holds."""
-    members = _bridge(spark, sf_dir).groupBy("archetype").agg(F.count("*").alias("members"))
+    fact = landed_fact(spark, sf_dir)
+    members = _bridge(fact, _traits(spark, sf_dir, fact)).groupBy("archetype").agg(F.count("*").alias("members"))
     return (
         archetypes.archetype_dim(spark, LABELS)
         .join(members, "archetype", "left")
@@ -208,14 +209,13 @@ def archetype_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM fact f LEFT JOIN assigned a ON a.entity = f.entity AND a.grp = f.grp""",
 )
 def archetype_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bridge(spark, sf_dir).withColumn("distance", F.round("distance", 9))
+    fact = landed_fact(spark, sf_dir)
+    return _bridge(fact, _traits(spark, sf_dir, fact)).withColumn("distance", F.round("distance", 9))
 
 
-def _bridge(spark: SparkSession, sf_dir: str, traits: DataFrame | None = None) -> DataFrame:
-    traits = _traits(spark, sf_dir) if traits is None else traits
+def _bridge(fact: DataFrame, traits: DataFrame) -> DataFrame:
     assigned = cluster.assign(traits, _given_model(traits))
-    entities = obs.part_fact(spark, sf_dir).select(*KEYS).distinct()
-    return archetypes.bridge(entities, assigned, KEYS)
+    return archetypes.bridge(fact.select(*KEYS).distinct(), assigned, KEYS)
 
 
 @registered(
@@ -243,9 +243,10 @@ def group_mean_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM traits JOIN assigned USING (entity, grp) GROUP BY archetype""",
 )
 def group_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    traits = _traits(spark, sf_dir)
+    fact = landed_fact(spark, sf_dir)
+    traits = _traits(spark, sf_dir, fact)
     groups = archetypes.archetype_dim(spark, LABELS)
-    return describe.group_composition(_bridge(spark, sf_dir, traits), groups, traits, KEYS)
+    return describe.group_composition(_bridge(fact, traits), groups, traits, KEYS)
 
 
 @registered(
@@ -262,10 +263,11 @@ def group_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances are rounded first: parts on the same point must tie exactly."""
     key = F.struct("entity", "grp")
-    bridge = _bridge(spark, sf_dir).select(
+    fact = landed_fact(spark, sf_dir)
+    bridge = _bridge(fact, _traits(spark, sf_dir, fact)).select(
         key.alias("entity_id"), "archetype", F.round("distance", 9).alias("distance")
     )
-    entities = obs.part_fact(spark, sf_dir).select(*KEYS).distinct()
+    entities = fact.select(*KEYS).distinct()
     name = F.concat(F.col("entity").cast("string"), F.lit("-"), "grp")
     dim = entities.select(key.alias("entity_id"), name.alias("segment"))
     return describe.representatives(bridge, dim)

@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from trajecta.operators import describe, star, trajectory
 from trajecta.plans import observations as obs
 from trajecta.plans.catalog import registered
+from trajecta.session import materialise
 
 KEYS = obs.KEYS
 T = obs.TRAJECTORY
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact = obs.part_fact(spark, sf_dir)
+def landed_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part fact as a table: the lines are scanned and summed once for all its readers."""
+    return materialise(obs.part_fact(spark, sf_dir), "fact")
+
+
+def _grid(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None) -> DataFrame:
+    fact = landed_fact(spark, sf_dir) if fact is None else fact
     return trajectory.dense_grid(fact, star.period_dim(fact), KEYS, obs.THRESHOLD)
 
 
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.profile(_grid(spark, sf_dir), KEYS)
+def _profiles(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None) -> DataFrame:
+    return trajectory.profile(_grid(spark, sf_dir, fact), KEYS)
 
 
-def part_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.states(_profiles(spark, sf_dir), KEYS)
+def part_states(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None) -> DataFrame:
+    return trajectory.states(_profiles(spark, sf_dir, fact), KEYS)
 
 
-def part_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_traits(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None) -> DataFrame:
     return trajectory.traits(
-        part_states(spark, sf_dir), KEYS, pivot=obs.PIVOT, vintage=obs.VINTAGE
+        part_states(spark, sf_dir, fact), KEYS, pivot=obs.PIVOT, vintage=obs.VINTAGE
     )
 
 
