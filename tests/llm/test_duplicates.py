@@ -215,3 +215,60 @@ def test_hot_key_links_once_per_member(spark):
     groups = simhash.near_duplicates(docs)
     assert groups.select("component_id").distinct().collect() == [(0,)]
     assert groups.agg(F.count("*")).first()[0] == 300
+
+
+def fresh(tag, n):
+    return [f"{tag}{i}" for i in range(n)]
+
+
+def test_short_passages_with_a_changed_word_are_found(spark):
+    rows, want = [], {}
+    for k in range(60):
+        size = (50, 54, 60)[k % 3]
+        base = fresh(f"p{k}-", size)
+        at = (size // 2, 20, 15, size // 2 - 1)[k % 4]
+        edited = base[:at] + [f"new{k}"] + base[at + 1 :]
+        rows.append((2 * k, " ".join(fresh(f"a{k}-", 40 + k) + base + fresh(f"b{k}-", 50))))
+        rows.append((2 * k + 1, " ".join(fresh(f"c{k}-", 80) + edited + fresh(f"d{k}-", 60 + k))))
+        want[2 * k + 1] = (80, 80 + size, 2 * k, 40 + k, 40 + k + size)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.start, r.end, r.match_doc_id, r.match_start, r.match_end) for r in found} == want
+    assert len(found) == len(want) and all(r.similarity >= 0.8 for r in found)
+
+
+def test_shorter_quotes_do_not_hide_a_repeat(spark):
+    rows, want = [], {}
+    for k in range(40):
+        base = fresh(f"p{k}-", 50 + k % 2 * 10)
+        rows.append((10 * k, " ".join(base[: 45 + k % 5] + fresh(f"q{k}-", 10))))
+        rows.append((10 * k + 1, " ".join(fresh(f"r{k}-", 10) + base[-(45 + k % 5) :])))
+        rows.append((10 * k + 2, " ".join(fresh(f"x{k}-", 40) + base + fresh(f"s{k}-", 30))))
+        rows.append((10 * k + 3, " ".join(fresh(f"y{k}-", 70) + base + fresh(f"t{k}-", 20))))
+        want[10 * k + 3] = (70, 70 + len(base), 10 * k + 2)
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        found = passages.repeated_passages(docs).collect()
+        assert {r.doc_id: (r.start, r.end, r.match_doc_id) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("edit", ["replaced", "inserted", "apart"])
+def test_larger_differences_are_verified(edit):
+    a = np.random.default_rng(3).integers(1, 2**63, 96).astype(np.uint64)
+    new = np.arange(1, 5, dtype=np.uint64)
+    b = {"replaced": np.r_[a[:46], new, a[50:]], "inserted": np.r_[a[:48], new[:3], a[48:]], "apart": a.copy()}[edit]
+    if edit == "apart":
+        b[[46, 49]] = new[:2]
+    for anchor in ((10, 10), (80, 80 + len(b) - len(a))):
+        (found,) = passages.verified(a, b, [anchor])
+        assert found[:4] == (0, 96, 0, len(b)) and found[4] >= 0.8
+
+
+def test_many_surroundings_of_a_passage_are_all_found(spark):
+    base = fresh("p", 60)
+    rows = [(k, " ".join(fresh(f"a{k}-", 60 + k) + base[: 50 + k % 11] + fresh(f"b{k}-", 90))) for k in range(40)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = defaultdict(set)
+    for r in found:
+        covered[r.doc_id].update(range(r.start, r.end))
+    longest = np.maximum.accumulate([0] + [50 + k % 11 for k in range(40)])
+    assert {k: len(v) for k, v in covered.items()} == {k: min(50 + k % 11, int(longest[k])) for k in range(1, 40)}
