@@ -135,3 +135,16 @@ def test_pair_weights_minimise_the_loss():
 
     w = quality.bradley_terry(good, bad, ridge=0.01)
     assert all(loss(w) <= loss(w + 1e-3 * rng.normal(size=3)) for _ in range(50))
+
+
+def test_quality_is_cut_at_the_quantile_of_all_documents(spark, tables):
+    docs, labels = tables
+    bad = labels.filter("quality = 0").select("doc_id")
+    # Three unlabelled copies of every bad document, so the labelled rows differ from the table.
+    copies = docs.join(bad, "doc_id").select(docs.columns).withColumn("doc_id", F.col("doc_id") + 10**9)
+    docs = docs.unionByName(copies).unionByName(copies).unionByName(copies)
+    known = labels.filter("quality IN (0, 1)").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    share = known.agg(F.avg(1 - F.col("quality"))).first()[0]
+    out = [r.score for r in quality.quality(docs, labels).collect()]
+    assert sum(s < 0.3 - 1e-9 for s in out) <= share * len(out) + 1
+    assert sum(s <= 0.3 + 1e-9 for s in out) >= share * len(out) - 1

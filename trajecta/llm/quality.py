@@ -1,13 +1,13 @@
 """Quality by Bradley-Terry pairwise ranking.
 
 Documents get a score that is linear in their features, learned from pairs of a good and a bad
-document by logistic loss on the difference of their features.  The scores are then cut at the
-quantile that the share of bad documents gives.
+document by logistic loss on the difference of their features.  The scores of all documents are
+then cut at the quantile that the share of bad documents gives.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from trajecta.llm.learning import labelled_sample, remainder
 from trajecta.llm.words import shingle_hashes, word_hashes
+from trajecta.operators.quantiles import exact_quantiles
+from trajecta.session import materialise
 
 FOLDS, HELD = 5, 0
 PER_CLASS = 4000  # labelled documents of each class that the model is fitted on
@@ -79,7 +81,10 @@ class Ranking:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1; ``CUT`` at the quantile."""
-        z = np.clip(self.raw(x) - self.cut + np.log(CUT / (1 - CUT)), -35, 35)
+        return self.shifted(self.raw(x))
+
+    def shifted(self, raw: np.ndarray) -> np.ndarray:
+        z = np.clip(raw - self.cut + np.log(CUT / (1 - CUT)), -35, 35)
         return 1 / (1 + np.exp(-z))
 
 
@@ -115,7 +120,7 @@ def rank(x: np.ndarray, y: np.ndarray, bad_share: float) -> Ranking | None:
     i, j = rng.integers(len(good), size=PAIRS), rng.integers(len(bad), size=PAIRS)
     b_good, b_bad = _binned(good, edges), _binned(bad, edges)
     w = bradley_terry(b_good[i], b_bad[j])
-    # Quantile of all documents, from the classes in their true proportions.
+    # Quantile of the sample, with the classes in their true proportions.
     raw = np.concatenate([b_good @ w, b_bad @ w])
     mass = np.concatenate([np.full(len(good), (1 - bad_share) / len(good)), np.full(len(bad), bad_share / len(bad))])
     order = np.argsort(raw, kind="stable")
@@ -124,8 +129,8 @@ def rank(x: np.ndarray, y: np.ndarray, bad_share: float) -> Ranking | None:
     return Ranking(edges, w, float((raw[order][at] + above) / 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ranking | None:
-    """Ranking learned from labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Ranking | None, float]:
+    """Ranking learned from labelled documents outside the held-out fold, and the share of bad ones."""
     sample = labelled_sample(docs, labels, "quality", FOLDS, HELD, per_class)
 
     def measured(column: pd.Series) -> pd.Series:
@@ -137,12 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ranki
         F.pandas_udf(measured, "array<double>")(F.col("text").cast("binary")).alias("x"),
     ).toPandas()
     if not len(rows):
-        return None
+        return None, 0.0
     rows["tie"] = [tuple(x) for x in rows["x"]]
     rows = rows.sort_values(["spot", "doc_id", "tie"])
     known = labels.filter(F.col("quality").isin(0, 1)).filter(remainder(F.col("doc_id"), FOLDS) != HELD)
     share = known.agg(F.avg(1 - F.col("quality"))).first()[0]
-    return rank(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(), float(share))
+    return rank(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(), float(share)), float(share)
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -150,18 +155,31 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
 
     Scores use the text alone, all of it.  A null text scores as an empty one, equal texts score
     equally, repeated rows come back repeated.  Without labelled documents of both classes every
-    score is 0.5.  Other columns are ignored; nothing but labels is shuffled.
+    score is 0.5.  The cut is the exact quantile of the scores of all rows at the share of bad
+    documents among the labels.  Other columns are ignored; texts are not shuffled.
     """
-    model = fit(docs, labels, per_class)
+    model, share = fit(docs, labels, per_class)
 
-    def scored(column: pd.Series) -> pd.Series:
+    def raw(column: pd.Series) -> pd.Series:
         if model is None or not len(column):
-            return pd.Series(np.full(len(column), 0.5))
-        out = [model.score(np.stack([features(x) for x in column[k : k + 256]])) for k in range(0, len(column), 256)]
+            return pd.Series(np.zeros(len(column)))
+        out = [model.raw(np.stack([features(x) for x in column[k : k + 256]])) for k in range(0, len(column), 256)]
         return pd.Series(np.concatenate(out))
 
-    return docs.select(
+    ranked = docs.select(
         "doc_id",
         (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"),
-        F.pandas_udf(scored, "double")(F.col("text").cast("binary")).alias("score"),
-    ).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+        F.pandas_udf(raw, "double")(F.col("text").cast("binary")).alias("raw"),
+    )
+    score = F.lit(0.5)
+    if model is not None:
+        ranked = materialise(ranked, "ranked")
+        found = exact_quantiles(ranked, "raw", {"cut": share}).first()
+        placed = replace(model, cut=found["cut"]) if found else model
+
+        @F.pandas_udf("double")
+        def shifted(column: pd.Series) -> pd.Series:
+            return pd.Series(placed.shifted(column.to_numpy()))
+
+        score = shifted("raw")
+    return ranked.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
