@@ -272,3 +272,12 @@ def test_many_surroundings_of_a_passage_are_all_found(spark):
         covered[r.doc_id].update(range(r.start, r.end))
     longest = np.maximum.accumulate([0] + [50 + k % 11 for k in range(40)])
     assert {k: len(v) for k, v in covered.items()} == {k: min(50 + k % 11, int(longest[k])) for k in range(1, 40)}
+
+
+def test_a_text_under_a_shared_id_stays_in_its_own_group(spark):
+    a, b = " ".join(fresh("a", 40)), " ".join(fresh("b", 40))
+    for swap in (False, True):  # whichever hash comes first
+        x, y = (b, a) if swap else (a, b)
+        rows = [(3, x), (5, x), (5, y), (None, x), (None, x), (None, x)]
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted([(3, x), (5, y), (None, x)], key=repr)

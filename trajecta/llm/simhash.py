@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm.columns import unused
@@ -258,6 +258,14 @@ def links(codes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     return out
 
 
+def _placed(classes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+    """``classes(fp, ...)`` with the component of each fingerprint."""
+    nodes = connected_components(links(classes.select("fp").distinct(), node_rows))
+    return classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, node_rows: int = NODE_ROWS
 ) -> DataFrame:
@@ -275,11 +283,7 @@ def near_duplicates(
         "prints",
     )
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    nodes = connected_components(links(classes.select("fp"), node_rows))
-    placed = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    placed = materialise(placed, "placed")
+    placed = materialise(_placed(classes, node_rows), "placed")
     lows = placed.groupBy("component").agg(F.min("low").alias("component_id"))
     ids = placed.join(lows, "component").select("fp", "component_id")
     return prints.join(ids, "fp").select(
@@ -290,17 +294,19 @@ def near_duplicates(
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id the first by text stays; rows without a doc_id all stay, as
-    nothing can name them.  Columns are those of ``docs``.
+    Of a group's rows that share this doc_id the first by text stays; another text under it that
+    is in another group counts there.  Of the rows without a doc_id one more of each group stays,
+    as nothing can name them.  Columns are those of ``docs``.
     """
-    keep, row = unused(docs, "keep"), unused(docs, "row")
-    found = near_duplicates(docs)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = (
-        docs.join(first, F.col("doc_id") == F.col(keep))
-        .withColumn(row, F.row_number().over(order))
-        .filter(F.col(row) == 1)
-        .select(*docs.columns)
+    keep, spot = unused(docs, "keep"), unused(docs, "spot")
+    rows = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
+        "_fp", F.isnull("doc_id").alias("nameless"), F.struct("doc_id", F.xxhash64("text").alias("spot")).alias("first")
+    )
+    # Least rows of each fingerprint, then of each component; never all rows of a group in one task.
+    classes = materialise(
+        rows.withColumnRenamed("_fp", "fp").groupBy("fp", "nameless").agg(F.min("first").alias("first")), "classes"
     )
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    first = _placed(classes).groupBy("component", "nameless").agg(F.min("first").alias("first"))
+    chosen = materialise(first.select(F.col("first.doc_id").alias(keep), F.col("first.spot").alias(spot)), "chosen")
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(keep)) & (F.xxhash64("text") == F.col(spot))
+    return docs.join(chosen, match).dropDuplicates([keep, spot]).select(*[F.col(f"`{c}`") for c in docs.columns])
