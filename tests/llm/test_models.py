@@ -148,3 +148,12 @@ def test_quality_is_cut_at_the_quantile_of_all_documents(spark, tables):
     out = [r.score for r in quality.quality(docs, labels).collect()]
     assert sum(s < 0.3 - 1e-9 for s in out) <= share * len(out) + 1
     assert sum(s <= 0.3 + 1e-9 for s in out) >= share * len(out) - 1
+
+
+def test_toxic_documents_are_recalled_from_few_labels(tables):
+    docs, labels = tables
+    known = toxicity.toxicity(docs, labels).join(labels.filter("toxic IN (0, 1)").select("doc_id", "toxic"), "doc_id")
+    rows = known.select("predicted", "toxic").collect()
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)

@@ -22,7 +22,7 @@ BUCKET_BITS = 20
 STEM = 4
 PER_CLASS = 4000  # labelled documents of each class that the model is fitted on
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 16.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 16.0, 1.0  # L1 for PER_CLASS documents of the rarer class
 FOLDS, HELD = 5, 0
 
 
@@ -54,14 +54,21 @@ class Weights:
 
 
 def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Weights:
-    """Fit on ``(buckets, label)`` pairs in the order given."""
-    if {y for _, y in examples} != {0, 1}:
+    """Fit on ``(buckets, label)`` pairs in the order given.
+
+    Both classes weigh as much as the rarer one, and L1 grows with the root of its size up to
+    ``PER_CLASS``, as the noise in a coordinate does.
+    """
+    sizes = np.bincount([y for _, y in examples], minlength=2)
+    if not sizes.all():
         return Weights(np.empty(0, np.int32), np.empty(0, np.float32), 0.0, False)
+    weight = sizes.min() / sizes
+    bound = L1 * min(1.0, sizes.min() / PER_CLASS) ** 0.5
     bias_at = 1 << BUCKET_BITS
     z, n = np.zeros(bias_at + 1), np.zeros(bias_at + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
-        l1 = np.where(at == bias_at, 0.0, L1)
+        l1 = np.where(at == bias_at, 0.0, bound)
         held = z[at]
         return np.where(
             np.abs(held) <= l1, 0.0, (np.sign(held) * l1 - held) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
@@ -71,7 +78,7 @@ def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Weight
         for buckets, label in examples:
             at = np.append(buckets, bias_at)
             w = weights(at)
-            gradient = _logistic(w.sum()) - label
+            gradient = (_logistic(w.sum()) - label) * weight[label]
             old = n[at]
             rate = (np.sqrt(old + gradient * gradient) - np.sqrt(old)) / ALPHA
             z[at] += gradient - rate * w
