@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, language, mixing, neighbours, passages, quality, rollups, search, simhash, toxicity
+from trajecta.llm import bpe, byte_bpe, language, mixing, neighbours, passages, quality, rollups, search, simhash, toxicity
 from trajecta.session import materialise, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def ranks(path: str | None = None) -> bytes:
+    """Content of the rank file; ``path`` replaces the public one."""
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return file.read()
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level token ids of every document and the bytes they decode to, as digests."""
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     "op1_neighbours": op1_neighbours,
     "op2_search": op2_search,
@@ -124,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_token_rollup": op9_token_rollup,
     "op10_quality": op10_quality,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
