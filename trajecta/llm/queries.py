@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, byte_bpe, language, mixing, neighbours, passages, quality, rollups, search, simhash, toxicity
+from trajecta.llm import bpe, byte_bpe, language, mixing, neighbours, passages, phrases, quality, rollups, search, simhash, toxicity
 from trajecta.session import materialise, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language of all documents."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_neighbours": op1_neighbours,
     "op2_search": op2_search,
@@ -136,9 +141,11 @@ QUERIES: dict[str, Query] = {
     "op9_token_rollup": op9_token_rollup,
     "op10_quality": op10_quality,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE.strip(),
     "op9_token_rollup": ROLLUP_ORACLE.strip(),
+    "op13_collocations": phrases.ORACLE.strip(),
 }
