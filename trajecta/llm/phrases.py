@@ -134,7 +134,7 @@ def _phrase_counts(docs: DataFrame, count: Callable, *filters: np.ndarray) -> Da
         def flush(lang: str) -> pa.RecordBatch:
             names, counts = count(lang, tokens(held.pop(lang)), *shared.value)
             return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(names)), names, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"]
+                [pa.array([lang] * len(names), pa.string()), names, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"]
             )
 
         held: dict[str, list[bytes]] = {}
