@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, byte_bpe, language, mixing, neighbours, passages, phrases, quality, rollups, search, simhash, toxicity
+from trajecta.llm import (
+    bpe,
+    byte_bpe,
+    conversations,
+    language,
+    mixing,
+    neighbours,
+    passages,
+    phrases,
+    quality,
+    rollups,
+    search,
+    simhash,
+    toxicity,
+)
 from trajecta.session import materialise, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +127,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after some rows have been damaged."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.audited(rows, conversations.damage(rows))
+
+
 def ranks(path: str | None = None) -> bytes:
     """Content of the rank file; ``path`` replaces the public one."""
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
@@ -140,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_token_rollup": op9_token_rollup,
     "op10_quality": op10_quality,
+    "op11_repair": op11_repair,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_collocations": op13_collocations,
 }
