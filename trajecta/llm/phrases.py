@@ -36,8 +36,8 @@ SCALE = 1_000_000
 _FIRST = 4  # pairs expanded at first, for each phrase of the result
 _GROWTH = 4
 _BITS = 1 << 24
-_CHUNK_BYTES = 8 << 20
-_MOST_BYTES = 32 << 20
+_CHUNK_BYTES = 2 << 20
+_MOST_BYTES = 8 << 20
 
 # Lower-cases A-Z; what ends a piece becomes a line feed, and a tab a blank.
 _PLAIN = bytes(
