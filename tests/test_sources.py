@@ -5,7 +5,8 @@ import pytest
 
 from trajecta import session
 from trajecta.plans import stages
-from trajecta.sources import provenance, shapes
+from trajecta.sources import digests, provenance, shapes
+from trajecta.sources.manifest_log import ManifestLog, differences
 from trajecta.sources.register import clean_rows, read_code_list, read_register
 
 
@@ -31,6 +32,34 @@ def test_fingerprints_of_all_files(spark, files):
     assert provenance.fingerprints(spark, str(files / "absent")).count() == 0
 
 
+def test_files_beyond_one_value_are_streamed(spark, tmp_path):
+    """A sparse file of 3 GB; its zeros take no disk."""
+    size = 3 * 1024**3
+    with open(tmp_path / "large file.bin", "wb") as file:
+        file.seek(size - 1)
+        file.write(b"x")
+    (tmp_path / "small.bin").write_bytes(b"small")
+    want = hashlib.sha256()
+    for _ in range(3 * 1024 - 1):
+        want.update(bytes(1 << 20))
+    want.update(bytes((1 << 20) - 1) + b"x")
+    got = {r["fichier"]: (r["octets"], r["sha256"]) for r in provenance.fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {"large file.bin": (size, want.hexdigest()), "small.bin": (5, hashlib.sha256(b"small").hexdigest())}
+
+
+def test_small_files_share_a_task():
+    files = [("a", 10), ("b", 300), ("c", 90), ("d", 1), ("e", 0)]
+    dealt = digests.shares(files, 100)
+    assert dealt == [["b"], ["c", "a"], ["d", "e"]] or sorted(map(sorted, dealt)) == [["a", "c"], ["b"], ["d", "e"]]
+    assert digests.shares([]) == []
+
+
+def test_digests_are_read_in_ranges(tmp_path, monkeypatch):
+    (tmp_path / "f").write_bytes(b"abcdefg")
+    monkeypatch.setattr(digests, "RANGE_BYTES", 3)
+    assert digests.digest((tmp_path / "f").as_uri()) == (7, hashlib.sha256(b"abcdefg").hexdigest())
+
+
 def _declared(spark, *rows):
     return spark.createDataFrame(
         [(n, 2025, "u", f, None) for n, f in rows],
@@ -150,6 +179,66 @@ def test_the_sources_stage_dates_only_what_it_knows(spark, files, tmp_path_facto
     stages.check_sources(spark, str(files / "no-manifest"), first=str(files / "a.bin"))
 
 
+def test_equal_files_of_a_source_do_not_multiply(spark, files, tmp_path_factory):
+    """Four runs over a folder with two files that are alike keep two entries, and write once."""
+    (files / "parts").mkdir()
+    for k in range(2):
+        (files / "parts" / f"part-{k}").write_bytes(b"the same")
+    path = str(tmp_path_factory.mktemp("out") / "manifest")
+    declared = _declared(spark, ("twins", "parts"), ("twins", "parts"))
+    written = []
+    for _ in range(4):
+        written.append(stages.run_sources(spark, declared, str(files), path))
+        rows = provenance.read_manifest(spark, path).collect()
+        assert [(r["nom"], r["fichier"]) for r in rows] == [("twins", "parts/part-0"), ("twins", "parts/part-1")]
+    assert written == [True, False, False, False]
+    assert provenance.manifest_log(spark, path).batches() == [1]
+
+
+def test_a_manifest_without_a_log_begins_one(spark, files, tmp_path):
+    """A document from elsewhere keeps its dates, and is not written again if nothing changed."""
+    path = tmp_path / "manifest"
+    declared = _declared(spark, ("first", "a.bin"))
+    entries = provenance.manifest_entries(provenance.fingerprints(spark, str(files)), declared)
+    document = provenance.manifest_document(entries.drop("date_telechargement").selectExpr("*", "'2020' AS date_telechargement"))
+    path.write_text(document.first()[0], encoding="utf-8")
+    assert not stages.run_sources(spark, declared, str(files), str(path))
+    assert [r["date_telechargement"] for r in provenance.stored_manifest(spark, str(path)).collect()] == ["2020"]
+    (files / "a.bin").write_bytes(b"new")
+    assert stages.run_sources(spark, declared, str(files), str(path))
+    assert [r["date_telechargement"] for r in provenance.stored_manifest(spark, str(path)).collect()] == [None]
+
+
+def test_the_log_keeps_the_latest_entry_and_forgets_what_is_gone(spark, tmp_path):
+    log = ManifestLog(spark, str(tmp_path / "log"))
+
+    def entries(*rows):
+        return spark.createDataFrame([(n, 2025, "u", f, 1, sha, None) for n, f, sha in rows], ENTRY)
+
+    def state():
+        return sorted((r["nom"], r["fichier"], r["sha256"]) for r in log.latest().collect())
+
+    first = [("a", "x", "1"), ("a", "y", "1"), ("b", "x", "2"), (None, "x", "3")]
+    assert log.latest().count() == 0 and not log.append(entries())
+    assert log.append(entries(*first)) and not log.append(entries(*first))
+    assert differences(entries(*first), log.latest()).count() == 0
+    second = [("a", "x", "1"), ("a", "y", "9"), (None, "x", "3")]
+    assert log.append(entries(*second)) and log.rows().count() == 4 + 2
+    assert [(r.nom, r.fichier, r.gone) for r in log.rows().filter("batch = 2").orderBy("nom").collect()] == [
+        ("a", "y", False), ("b", "x", True),
+    ]
+    # A batch that was not committed is none, and the next one takes its number.
+    broken = tmp_path / "log" / "batch=3"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half")
+    want = sorted(second, key=lambda r: (r[0] or "", r[1]))
+    assert sorted((r["nom"] or "", r["fichier"], r["sha256"]) for r in log.latest().collect()) == [(n or "", f, s) for n, f, s in want]
+    third = [("b", "x", "2")]
+    assert log.append(entries(*third)) and log.batches() == [1, 2, 3] and state() == third
+    log.compact()
+    assert log.batches() == [4] and state() == third and not log.append(entries(*third))
+
+
 def test_provenance_gate(spark):
     found = _entries(spark, ("a", "1", None), ("b", "2", None), ("new", "3", None)).select("nom", "sha256")
     manifest = _entries(spark, ("a", "1", None), ("b", "1", None))

@@ -313,7 +313,7 @@ def run_sources(spark: SparkSession, declared: DataFrame, folder: str, manifest_
     with scratch_scope(spark):
         current = materialise(manifest_entries(fingerprints(spark, folder), declared), "entries")
         require_content(current)
-        return save_manifest(upsert_manifest(current, old), old, manifest_path)
+        return save_manifest(upsert_manifest(current, old), manifest_path)
 
 
 # --- everything ----------------------------------------------------------------------

@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.session import materialise
+from trajecta.sources.digests import can_stream, read_digests
+from trajecta.sources.manifest_log import KEY, ManifestLog, one_entry_each
 
 MANIFEST = (
     "sources array<struct<nom:string,millesime:int,url:string,fichier:string,"
@@ -16,11 +17,13 @@ MANIFEST = (
 )
 ENTRY = ("nom", "millesime", "url", "fichier", "octets", "sha256", "date_telechargement")
 
+LONGEST_LOG = 32  # batches of a manifest log before it is compacted
 EMPTY_HASH = hashlib.sha256(b"").hexdigest()
 
 
 def _listing(spark: SparkSession, path: str) -> list[tuple]:
-    """Every file under ``path``, or the file itself, as Spark's storage layer lists it.
+    """Every file under ``path``, or the file itself, as Spark's storage layer lists it, with the
+    place where it really lies.
 
     Files and folders whose names start with ``_`` or ``.`` are left out, as Spark leaves them
     out when it reads.  ``fichier`` is the path below ``path``, so equal names in two folders
@@ -31,7 +34,9 @@ def _listing(spark: SparkSession, path: str) -> list[tuple]:
     system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(root):
         return []
+    # A mount point stands for the storage behind it.
     root = system.resolvePath(root)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     base = root.toUri().getPath().rstrip("/")
     rows, files = [], system.listFiles(root, True)
     while files.hasNext():
@@ -47,19 +52,20 @@ def _listing(spark: SparkSession, path: str) -> list[tuple]:
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """Path, name, size, SHA-256 and modification time of every file under ``path``.
 
-    The listing comes from the storage layer and holds empty files as well.  Contents are hashed
-    in the tasks, one file after another, in the same way whatever their size; Spark refuses, by
-    name, a file too large for one value (2 GB), which sources split into parts do not reach.
+    The listing comes from the storage layer and holds empty files as well.  Contents are streamed
+    through the tasks, whatever the size of a file.  Where only the JVM reads the storage, a file
+    is one value, and Spark refuses, by name, one of more than 2 GB.
     """
     rows = [(uri, name, size, ms / 1000.0) for uri, name, size, ms in _listing(spark, path)]
     listed = spark.createDataFrame(rows, "path string, fichier string, octets bigint, seconds double").select(
         "path", "fichier", "octets", F.col("seconds").cast("timestamp").alias("modified")
     )
-    if any(size for _, _, size, _ in rows):
+    full = [(uri, size) for uri, _, size, _ in rows if size]
+    if all(can_stream(uri) for uri, _ in full):
+        hashed = read_digests(spark, full).select(_location(F.col("path")).alias("at"), F.col("sha256").alias("hash"))
+    else:
         content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         hashed = content.select(_location(F.col("path")).alias("at"), F.sha2("content", 256).alias("hash"))
-    else:
-        hashed = spark.createDataFrame([], "at string, hash string")
     whole = listed.join(hashed, _location(F.col("path")) == F.col("at"), "left")
     return whole.select(
         "fichier",
@@ -94,8 +100,19 @@ def manifest_document(entries: DataFrame) -> DataFrame:
     return entries.agg(F.to_json(F.struct(rows.alias("sources"))).alias("value"))
 
 
+def manifest_log(spark: SparkSession, path: str) -> ManifestLog:
+    """The log behind the manifest document at ``path``, beside it."""
+    return ManifestLog(spark, f"{path.rstrip('/')}.log")
+
+
 def stored_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest of an earlier run, or no entries before the first one."""
+    """The manifest of an earlier run, or no entries before the first one.
+
+    A document without a log is one that came from elsewhere, and is where a log begins.
+    """
+    log = manifest_log(spark, path)
+    if log.batches():
+        return log.latest()
     try:
         return read_manifest(spark, path)
     except AnalysisException as error:
@@ -130,26 +147,43 @@ def require_content(entries: DataFrame) -> None:
         raise ValueError(f"declared sources without content: {', '.join(names)}")
 
 
-def save_manifest(entries: DataFrame, old: DataFrame, path: str) -> bool:
-    """Write the manifest unless nothing changed; says whether it was written."""
-    if manifest_changes(entries, old).isEmpty():
+def save_manifest(entries: DataFrame, path: str) -> bool:
+    """Bring the log up to ``entries`` and write the document anew, unless nothing changed; says
+    whether it was written.  A log that has grown long is compacted."""
+    spark = entries.sparkSession
+    log = manifest_log(spark, path)
+    if not log.batches():
+        # The first batch holds all, also where a document says the same.
+        same = manifest_changes(one_entry_each(entries), stored_manifest(spark, path)).isEmpty()
+        log.append(entries)
+    else:
+        same = not log.append(entries)
+    if len(log.batches()) > LONGEST_LOG:
+        log.compact()
+    if same:
         return False
-    # The entries may be read from the very file that is replaced.
-    document = materialise(manifest_document(entries), "manifest")
-    document.coalesce(1).write.mode("overwrite").text(path)
+    manifest_document(log.latest()).coalesce(1).write.mode("overwrite").text(path)
     return True
 
 
 def upsert_manifest(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Keep an earlier download date only where the content is unchanged.
 
-    ``current`` carries the date of this run for a fresh file and null for one that was
-    already there; a changed hash makes the old date wrong, so it is dropped.
+    Entries are told apart by source and file.  ``current`` carries the date of this run for a fresh
+    file and null for one that was already there; a changed hash makes the old date wrong, so it is
+    dropped.  An entry listed more than once on either side counts once.
     """
-    earlier = previous.select("nom", "sha256", F.col("date_telechargement").alias("_earlier"))
+    earlier = (
+        previous.groupBy(*KEY, "sha256").agg(F.max("date_telechargement").alias("_earlier")).withColumnsRenamed(
+            {k: f"_{k}" for k in (*KEY, "sha256")}
+        )
+    )
+    same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    same = same_key[0] & same_key[1] & (F.col("sha256") == F.col("_sha256"))
     kept = F.coalesce("date_telechargement", "_earlier")
     return (
-        current.join(earlier, ["nom", "sha256"], "left")
+        one_entry_each(current)
+        .join(earlier, same, "left")
         .withColumn("date_telechargement", kept)
         .select(*current.columns)
     )
