@@ -281,7 +281,7 @@ def test_a_stage_writes_its_tables_once_and_leaves_no_scratch(spark, tmp_path, m
     assert written == [["d_annee", "d_prenom", "d_sexe", "f_naissances"]]
     assert not scratch.exists() or not _files_below(scratch)
     before = {p.name for p in (tmp_path / "out").iterdir()}
-    assert before == {"d_annee", "d_prenom", "d_sexe", "f_naissances"}
+    assert before == {"d_annee", "d_prenom", "d_sexe", "f_naissances", "_commits"}
     # A failing gate publishes nothing and leaves nothing behind.
     sentinel = spark.createDataFrame([("FRANCE", "XX", "1", "ANNE", "XXXX", 10, 1)], source.schema)
     with pytest.raises(Exception, match="conserved"):

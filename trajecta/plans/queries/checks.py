@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,9 @@ from trajecta.plans import observations as obs
 from trajecta.plans.catalog import registered
 from trajecta.plans.queries.clusters import ASSIGNED, CENTRES, LABELS
 from trajecta.plans.queries.star import _DIM, stored_register
-from trajecta.session import materialise
+from trajecta.session import materialise, scratch_dir
 from trajecta.sources.register import department_rows, national_rows, row_fate
+from trajecta.sources.store import TableStore
 
 KEYS = obs.KEYS
 
@@ -393,3 +397,57 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             quality.same_total(territories, "total", cells, "observed", "territory totals conserved"),
         ]
     )
+
+
+_SIZES = """
+  SELECT r_name AS region, n_name AS nation, CAST(COUNT(*) AS BIGINT) AS customers
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+  GROUP BY 1, 2"""
+
+
+@registered(
+    "gated_snapshots",
+    f"""WITH sizes AS ({_SIZES}), by_region AS (SELECT region, CAST(SUM(customers) AS BIGINT) AS customers FROM sizes GROUP BY 1),
+    seen(run, gate, snapshot, step) AS (VALUES (1, 'passed', 1, 1), (2, 'fired', 1, 1), (3, 'passed', 2, 3))
+    SELECT run, gate, snapshot, 'nations' AS "table", COUNT(*) AS "rows", CAST(SUM(customers * step) AS BIGINT) AS customers
+    FROM seen, sizes GROUP BY 1, 2, 3
+    UNION ALL
+    SELECT run, gate, snapshot, 'regions', COUNT(*), CAST(SUM(customers * step) AS BIGINT)
+    FROM seen, by_region GROUP BY 1, 2, 3""",
+)
+def gated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers see of two tables after each of three runs of a stage, whose gate compares their
+    totals.  The second run loses a region in one of them, so its gate fires."""
+    customers, nations, regions = (obs.table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
+    places = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    sizes = materialise(
+        customers.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
+        .agg(F.count("*").alias("customers")),
+        "sizes",
+    )
+    store = TableStore(spark, f"{scratch_dir(spark)}/snapshots-{uuid.uuid4().hex}")
+    seen = []
+    for run in (1, 2, 3):
+        nation_sizes = sizes.withColumn("customers", F.col("customers") * run)
+        region_sizes = nation_sizes.groupBy("region").agg(F.sum("customers").alias("customers"))
+        if run == 2:
+            region_sizes = region_sizes.filter("region <> 'ASIA'")
+        with store.stage({"nations": nation_sizes, "regions": region_sizes}) as staged:
+            check = quality.same_total(staged.read("nations"), "customers", staged.read("regions"), "customers", "totals agree")
+            try:
+                quality.gate(quality.report([check]))
+                staged.publish()
+                fate = "passed"
+            except AssertionError:
+                fate = "fired"
+        for table in ("nations", "regions"):
+            seen.append(
+                store.read(table)
+                .agg(F.count("*").alias("rows"), F.sum("customers").alias("customers"))
+                .select(
+                    F.lit(run).alias("run"), F.lit(fate).alias("gate"), F.lit(max(store.versions())).alias("snapshot"),
+                    F.lit(table).alias("table"), "rows", "customers",
+                )
+            )
+    return reduce(DataFrame.unionByName, seen)

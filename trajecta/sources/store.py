@@ -1,7 +1,14 @@
-"""Stage-to-stage tables on shared storage."""
+"""Stage-to-stage tables on shared storage, published as snapshots.
+
+Every write of a table goes to a folder of its own below the table's name.  What readers see is told
+by the last of the numbered files in ``_commits``, which names the folder of every table.  A stage's
+tables are all written and checked before one such file is added, so they change together or, if the
+run is killed anywhere before, not at all.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping
 
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from trajecta.session import delete_folder
+from trajecta.sources.files import Folder
 
 # Which stage writes each table; named in the error when one is missing.
 PRODUCERS = {
@@ -28,27 +35,47 @@ PRODUCERS = {
 }
 
 
+class ConflictError(RuntimeError):
+    """Another run has published one of the same tables since this one began."""
+
+
 class TableStore:
     """A folder of Parquet tables that the stages hand over to each other."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def read(self, table: str) -> DataFrame:
-        """The table as a lazy DataFrame and a temporary view of the same name."""
+        self.folder, self.commits = Folder(spark, self.root), Folder(spark, f"{self.root}/_commits")
+
+    def versions(self) -> list[int]:
+        """Numbers of the snapshots, the last one is read."""
+        return [int(n.removesuffix(".json")) for n in self.commits.names() if n.endswith(".json")]
+
+    def snapshot(self, version: int | None = None) -> dict[str, dict]:
+        """Folder, row count and first snapshot of each table of a snapshot; the last if not named."""
+        versions = self.versions()
+        if version is None and not versions:
+            return {}
+        return json.loads(self.commits.read(f"{max(versions) if version is None else version:08d}.json"))
+
+    def path(self, table: str, version: int | None = None) -> str:
+        """Where a table lies; one that no snapshot knows is a plain folder of that name."""
+        known = self.snapshot(version).get(table)
+        return f"{self.root}/{known['folder'] if known else table}"
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The table as a lazy DataFrame and a temporary view of the same name.
+
+        The DataFrame stays with the files of its snapshot, whatever is published later.
+        """
+        path = self.path(table, version)
         try:
-            df = self.spark.read.parquet(self.path(table))
+            df = self.spark.read.parquet(path)
         except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             producer = PRODUCERS.get(table, "an earlier")
-            raise FileNotFoundError(
-                f"{self.path(table)} is missing: run the {producer} stage first"
-            ) from error
+            raise FileNotFoundError(f"{path} is missing: run the {producer} stage first") from error
         df.createOrReplaceTempView(table)
         return df
 
@@ -62,41 +89,78 @@ class TableStore:
         with self.stage(tables) as staged:
             return staged.publish()
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete what none of the last ``keep`` snapshots names, also what killed runs left.
+
+        To be run while no stage writes; readers of the kept snapshots are not disturbed.
+        """
+        versions = self.versions()
+        kept = versions[-max(1, keep) :]
+        named = {entry["folder"] for v in kept for entry in self.snapshot(v).values()}
+        for version in versions:
+            if version not in kept:
+                self.commits.delete(f"{version:08d}.json")
+        gone = []
+        for table in self.folder.names():
+            if table[0] in "_.":
+                continue
+            for name in Folder(self.spark, f"{self.root}/{table}").names():
+                if name.startswith("v-") and f"{table}/{name}" not in named:
+                    gone.append(f"{table}/{name}")
+                    self.folder.delete(gone[-1])
+            self.folder.delete_if_empty(table)
+        return gone
+
 
 class Staged:
-    """Tables under a staging folder of the store, until they are published or dropped.
+    """Tables of a store that no snapshot names yet, until they are published or dropped.
 
     Used as a context: what is not published when it ends, by an error or not, is deleted.
     """
 
     def __init__(self, store: TableStore, tables: Mapping[str, DataFrame]) -> None:
         self.store, self.spark = store, store.spark
-        self.folder = f"{store.root}/_staging-{uuid.uuid4().hex}"
+        self.before = store.snapshot()
+        self.folders = {name: f"{name}/v-{uuid.uuid4().hex}" for name in tables}
         self.rows: dict[str, int] = {}
+        self.published = False
         try:
             for name, df in tables.items():
                 counted = Observation(name)
-                df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.folder}/{name}")
+                df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{store.root}/{self.folders[name]}")
                 self.rows[name] = counted.get["rows"]
         except BaseException:
-            delete_folder(self.spark, self.folder)
+            self._drop()
             raise
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}")
+        return self.spark.read.parquet(f"{self.store.root}/{self.folders[table]}")
 
     def publish(self) -> dict[str, int]:
-        """Move the very files that were checked to their names; nothing is copied."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        system = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for name in self.rows:
-            delete_folder(self.spark, self.store.path(name))
-            if not system.rename(path(f"{self.folder}/{name}"), path(self.store.path(name))):
-                raise OSError(f"could not publish {self.store.path(name)}")
-        return self.rows
+        """Add one snapshot with the very files that were checked; nothing is copied or moved.
+
+        Tables that another run has published meanwhile stay as they are, unless they are the same
+        ones, which is a conflict and publishes nothing.
+        """
+        while True:
+            version = max(self.store.versions(), default=0) + 1
+            now = self.store.snapshot()
+            taken = [n for n in self.folders if now.get(n) != self.before.get(n)]
+            if taken:
+                raise ConflictError(f"published by another run: {', '.join(sorted(taken))}")
+            own = {n: {"folder": f, "rows": self.rows[n], "since": version} for n, f in self.folders.items()}
+            if self.store.commits.create(f"{version:08d}.json", json.dumps(now | own, indent=1, sort_keys=True)):
+                self.published = True
+                return self.rows
+
+    def _drop(self) -> None:
+        for name, folder in self.folders.items():
+            self.store.folder.delete(folder)
+            self.store.folder.delete_if_empty(name)
 
     def __enter__(self) -> Staged:
         return self
 
     def __exit__(self, *error: object) -> None:
-        delete_folder(self.spark, self.folder)
+        if not self.published:
+            self._drop()
