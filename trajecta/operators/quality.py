@@ -8,16 +8,18 @@ sum of an empty table is null and must not pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions.labels import is_search_key
 from trajecta.functions.numbers import ratio
 from trajecta.operators.quantiles import exact_quantiles
 from trajecta.operators.trajectory import ENTITY
+from trajecta.session import materialise
 
 
 def _row(df: DataFrame, name: str, violations: Column) -> DataFrame:
@@ -51,6 +53,108 @@ def row_checks(df: DataFrame, *rules: Rule) -> DataFrame:
     return df.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
 
 
+def measured(df: DataFrame, label: str, **aggregates: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """The table, written once, and aggregates that are taken while it is written.
+
+    They are taken in the tasks that write, which count once each, also if executors are lost; a
+    value observed before a shuffle might count twice.  No distinct aggregates.
+    """
+    seen = Observation(label)
+    table = materialise(df.observe(seen, *[c.alias(name) for name, c in aggregates.items()]), label)
+    return table, seen.get
+
+
+def counted_rules(df: DataFrame, label: str, *rules: Rule, **aggregates: Column) -> tuple[DataFrame, dict[str, Any], DataFrame]:
+    """``measured``, with the rows that break each rule as checks: no scan of their own."""
+    counts = {name: F.count_if(broken) for name, broken in rules}
+    table, seen = measured(df, label, **counts, **aggregates)
+    return table, seen, known(df.sparkSession, {name: seen[name] for name in counts})
+
+
+def known(spark: SparkSession, violations: Mapping[str, int | bool | None]) -> DataFrame:
+    """(check, violations) rows from values that are known; an undecided one is broken."""
+    rows = [(name, 1 if v is None else int(v)) for name, v in violations.items()]
+    return spark.createDataFrame(rows, "check string, violations long")
+
+
+def differ(a: Any, b: Any) -> bool:
+    """Conservation of two measured sums: both exist and agree."""
+    return a is None or b is None or a != b
+
+
+Final = Callable[[Column], Column]
+
+
+def grouped_checks(df: DataFrame, aggregates: Mapping[str, Column],
+                   *checks: tuple[str, Sequence[str], Final]) -> DataFrame:
+    """Checks on the groups of one table, for any number of keys in one scan.
+
+    ``aggregates`` are taken per group.  A check has a name, its keys, and an aggregate over groups,
+    a function of the condition that a group belongs to these keys.  One key is a plain grouping,
+    several are grouping sets.
+    """
+    sets = list(dict.fromkeys(tuple(keys) for _, keys, _ in checks))
+    columns = list(dict.fromkeys(c for keys in sets for c in keys))
+    values = [c.alias(name) for name, c in aggregates.items()]
+    if len(sets) == 1:
+        grouped = df.groupBy(*columns).agg(*values).withColumn("_set", F.lit(0))
+        numbers = {sets[0]: 0}
+    else:
+        grouped = df.groupingSets([list(keys) for keys in sets], *columns).agg(F.grouping_id().alias("_set"), *values)
+        # A bit for every column that a set leaves out, the first column highest.
+        numbers = {
+            keys: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys) for keys in sets
+        }
+    rows = [
+        F.struct(
+            F.lit(name).alias("check"),
+            F.coalesce(final(F.col("_set") == numbers[tuple(keys)]).cast("long"), F.lit(1)).alias("violations"),
+        )
+        for name, keys, final in checks
+    ]
+    return grouped.agg(F.array(*rows).alias("counts")).select(F.inline("counts"))
+
+
+def repeated(where: Column) -> Column:
+    """Groups of more than one row; needs an aggregate ``rows``."""
+    return F.count_if(where & (F.col("rows") > 1))
+
+
+def broken(condition: Column) -> Final:
+    """Groups that break a rule; an undecided one is broken."""
+    return lambda where: F.count_if(where & F.coalesce(condition, F.lit(True)))
+
+
+def compared(keys: Sequence[str], **sides: tuple[DataFrame, Mapping[str, Column]]) -> DataFrame:
+    """One row per key with the sums that each side has under it, null where the side has no row.
+
+    Columns are named side_value, and side_rows counts.  All sides are stacked and meet in one
+    exchange, after each task has summed its own, so there is no join and a hot key is one row a task.
+    """
+    names = [(side, value) for side, (_, values) in sides.items() for value in ("rows", *values)]
+    parts = []
+    for own, (df, values) in sides.items():
+        given = {"rows": F.lit(1).cast("long"), **values}
+        parts.append(
+            df.select(
+                *keys,
+                *[(given[value] if side == own else F.lit(None)).alias(f"{side}_{value}") for side, value in names],
+            )
+        )
+    stacked = reduce(DataFrame.union, parts)
+    return stacked.groupBy(*keys).agg(*[F.sum(f"{s}_{v}").alias(f"{s}_{v}") for s, v in names])
+
+
+def over_keys(both: DataFrame, **checks: Column) -> DataFrame:
+    """(check, violations) of aggregates over the rows of ``compared``, in one pass; underscores in
+    the names are blanks, and an undecided aggregate is broken."""
+    rows = [
+        F.struct(F.lit(name.replace("_", " ")).alias("check"), F.coalesce(value.cast("long"), F.lit(1)).alias("violations"))
+        for name, value in checks.items()
+    ]
+    return both.agg(F.array(*rows).alias("counts")).select(F.inline("counts"))
+
+
 def unique_key(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Keys that occur more than once."""
     return _row(df.groupBy(*keys).agg(F.count("*").alias("n")), name, F.count_if(F.col("n") > 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions.constants import DEPARTMENT, NATIONAL
@@ -223,23 +223,46 @@ _CONSERVED = (
 
 @registered("conservation_margins", f"WITH {obs.TRAJECTORY},{obs.CELLS} " + _counts(*_CONSERVED))
 def conservation_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = obs.table(spark, sf_dir, "lineitem")
-    fact = materialise(obs.part_fact(spark, sf_dir), "fact")
-    fine = materialise(obs.territorial_fact(spark, sf_dir), "territory-fact")
-    cells = materialise(geo.territory_cells(fine, KEYS), "cells")
+    """Totals are measured while the tables are written; the rest reads each of them once."""
+    total = F.sum("n")
+    fact, facts = quality.measured(obs.part_fact(spark, sf_dir), "fact", total=total)
+    fine, fines = quality.measured(obs.territorial_fact(spark, sf_dir), "territory-fact", total=total)
+    cells, coarse = quality.measured(geo.territory_cells(fine, KEYS), "cells", total=F.sum("observed"))
+    lines = obs.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("entity"), F.col("l_linestatus").alias("grp"), "l_quantity"
+    )
     entities = star.entity_profile(fact, rank=None)
-    kept = trajectory.eligible(entities, obs.THRESHOLD)
-    named = lines.select(F.col("l_partkey").alias("entity"), F.col("l_linestatus").alias("grp"))
+    kept = F.col("entities_total") >= obs.THRESHOLD
+    by_entity = quality.compared(
+        KEYS, lines=(lines, {"n": F.col("l_quantity")}), entities=(entities, {"total": F.col("total")})
+    )
+    cell = [*KEYS, "territory"]
+    by_cell = quality.compared(cell, fine=(fine, {"n": F.col("n")}), coarse=(cells, {"n": F.col("observed")}))
+    named = F.count("lines_rows")
+
+    def margin(where: Column) -> Column:
+        return F.sum(F.when(where, F.col("s"))) != F.lit(coarse["total"])
+
+    margins = [("by territory", ["territory"], margin), ("by entity", KEYS, margin)]
+    sides = quality.grouped_checks(cells, {"s": F.sum("observed")}, *margins)
     return quality.report(
         [
-            quality.same_total(lines, "l_quantity", fact, "n", "lines to facts"),
-            quality.same_total(fact, "n", cells, "observed", "facts to cells"),
-            quality.same_total(fine, "n", cells, "observed", "fine to coarse"),
-            quality.same_total(kept, "total", fact, "n", "eligible part only"),
-            quality.margins_agree(cells, "observed", [["territory"], KEYS], "margins agree"),
-            quality.grains_reconcile(fine, "n", cells, "observed", [*KEYS, "territory"], "cells reconcile"),
-            quality.same_entities(named, entities, KEYS, "entities kept"),
-            quality.same_entities(named, kept, KEYS, "entities eligible"),
+            quality.known(
+                spark,
+                {
+                    "facts to cells": quality.differ(facts["total"], coarse["total"]),
+                    "fine to coarse": quality.differ(fines["total"], coarse["total"]),
+                },
+            ),
+            quality.over_keys(
+                by_entity,
+                lines_to_facts=F.sum("lines_n") != F.lit(facts["total"]),
+                eligible_part_only=F.sum(F.when(kept, F.col("entities_total"))) != F.lit(facts["total"]),
+                entities_kept=named != F.count("entities_rows"),
+                entities_eligible=named != F.count_if(kept),
+            ),
+            quality.over_keys(by_cell, cells_reconcile=F.count_if(~F.col("fine_n").eqNullSafe(F.col("coarse_n")))),
+            sides.agg(F.max("violations").alias("violations")).select(F.lit("margins agree").alias("check"), "violations"),
         ]
     ).drop("passed")
 
@@ -326,75 +349,106 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of check over a star, trajectories, archetypes and cells built here.
 
     Some rules do not hold for these tables (their counts are not rounded to 5, and the
-    register keeps sentinel periods), so the report also shows checks that fire.
+    register keeps sentinel periods), so the report also shows checks that fire.  Rules of single
+    rows and totals are counted while a table is written; what needs groups reads a table once for
+    all its keys.
     """
     register = stored_register(spark, sf_dir)
-    national, local = national_rows(register), department_rows(register)
     source = register.filter("niveau_geographique = 'FRANCE'")
-    dim = star.entity_dim(national)
-    shares = star.with_cell_share(national)
+    local = department_rows(register)
+    national, nation, rounded = quality.counted_rules(
+        national_rows(register), "national", quality.not_multiple("n", 5, "multiples of 5"),
+        total=F.sum("n"), first=F.min("period"), last=F.max("period"),
+    )
+    dim, _, search = quality.counted_rules(
+        star.entity_dim(national), "dim", quality.not_normalised("search", "search key")
+    )
 
     fact = materialise(obs.part_fact(spark, sf_dir), "fact")
-    periods = materialise(star.period_dim(fact), "periods")
+    periods, calendar = quality.measured(star.period_dim(fact), "periods", rows=F.count(F.lit(1)))
     grid = trajectory.dense_grid(fact, periods, KEYS, obs.THRESHOLD)
     states = materialise(trajectory.states(trajectory.profile(grid, KEYS), KEYS), "states")
-    traits = materialise(
-        trajectory.traits(states, KEYS, pivot=obs.PIVOT, vintage=obs.VINTAGE), "traits"
+    traits, _, trait_rules = quality.counted_rules(
+        trajectory.traits(states, KEYS, pivot=obs.PIVOT, vintage=obs.VINTAGE),
+        "traits",
+        quality.outside(["concentration", "recency", "asymmetry"], 0.0, 1.0, "traits in [0, 1]"),
+        quality.not_positive(["strong_width", "strong_runs"], "strong run"),
+        quality.flag_coherent(F.col("ongoing"), F.col("peak_period") >= obs.VINTAGE - 9, "ongoing flag"),
+        quality.outside(["peak_period"], obs.PIVOT, obs.VINTAGE, "peak within periods"),
     )
     model = cluster.Archetypes(cluster.fit_scale(cluster.weighted_points(traits)), CENTRES, 0.0)
     groups = archetypes.archetype_dim(spark, LABELS)
-    bridge = archetypes.bridge(fact.select(*KEYS).distinct(), cluster.assign(traits, model), KEYS)
+    bridge, _, distances = quality.counted_rules(
+        archetypes.bridge(fact.select(*KEYS).distinct(), cluster.assign(traits, model), KEYS),
+        "bridge",
+        quality.distance_coherent("distance of members"),
+    )
 
-    cells = materialise(obs.cells(spark, sf_dir), "cells")
-    quotients = materialise(geo.location_quotient(cells, KEYS), "quotients")
-    territories = geo.territory_dim(obs.code_list(spark, sf_dir), obs.region_list(spark, sf_dir), cells)
+    cells, coarse = quality.measured(obs.cells(spark, sf_dir), "cells", total=F.sum("observed"))
+    quotients, quotient, positive = quality.counted_rules(
+        geo.location_quotient(cells, KEYS),
+        "quotients",
+        quality.not_positive(["observed", "expected"], "cells positive"),
+        observed=F.sum("observed"), expected=F.sum("expected"),
+    )
+    territories, territory, territory_rules = quality.counted_rules(
+        geo.territory_dim(obs.code_list(spark, sf_dir), obs.region_list(spark, sf_dir), cells),
+        "territories",
+        quality.flag_coherent(F.col("overseas"), F.length("territory") == 3, "overseas flag"),
+        quality.blank("label", "territory labels"),
+        quality.blank("region_label", "region labels"),
+        quality.not_positive(["total"], "territory totals"),
+        total=F.sum("total"), required=F.count_if(F.col("territory").isin("01", "970", "2A")),
+    )
 
-    overseas = F.length("territory") == 3
-    proportions = ["concentration", "recency", "asymmetry"]
+    # Groups as text, as the source writes them.
+    pair = ["entity", "grp"]
+    by_pair = quality.compared(
+        pair,
+        source=(source.select(F.col("prenom").alias("entity"), F.col("sexe").alias("grp"), "valeur"), {"n": F.col("valeur")}),
+        local=(local.select("entity", F.col("grp").cast("string").alias("grp"), "n"), {"n": F.col("n")}),
+        dim=(dim.select("entity", F.col("grp").cast("string").alias("grp")), {}),
+    )
+    smooth = F.abs(F.col("smooth_sum") - 1) > 0.05
+    gap = None if not quotient["observed"] else (quotient["observed"] - quotient["expected"]) / quotient["observed"]
     return quality.report(
         [
-            quality.same_total(source, "valeur", national, "n", "national counts conserved"),
-            quality.less_total(local, "n", source, "valeur", "territorial below national"),
-            quality.same_entities(source, dim, ["prenom", "sexe"], "entities conserved"),
-            quality.unique_key(dim, ["entity", "grp"], "natural key"),
-            quality.unique_key(dim, ["segment"], "segment label"),
-            quality.orphans(local, dim, ["entity", "grp"], "facts without entity"),
-            quality.row_checks(national, quality.not_multiple("n", 5, "multiples of 5")),
-            quality.row_checks(dim, quality.not_normalised("search", "search key")),
-            quality.sums_to_one(shares, ["period", "grp"], "share", "shares of periods"),
-            quality.period_range(national, 1995, 2001, "declared periods"),
-            quality.distinct_codes(dim, "grp", 2, "two groups"),
-            quality.dense_grid_complete(states, periods, "grid complete", KEYS),
-            quality.sums_to_one(states, KEYS, "share", "profile shares"),
-            quality.sums_to_one(states, KEYS, "smooth", "smoothed shares", tolerance=0.05),
-            quality.row_checks(
-                traits,
-                quality.outside(proportions, 0.0, 1.0, "traits in [0, 1]"),
-                quality.not_positive(["strong_width", "strong_runs"], "strong run"),
-                quality.flag_coherent(
-                    F.col("ongoing"), F.col("peak_period") >= obs.VINTAGE - 9, "ongoing flag"
-                ),
-                quality.outside(["peak_period"], obs.PIVOT, obs.VINTAGE, "peak within periods"),
+            rounded, search, trait_rules, distances, positive, territory_rules,
+            quality.known(
+                spark,
+                {
+                    "declared periods": (nation["first"], nation["last"]) != (1995, 2001),
+                    "sparsity": gap is None or gap < -1e-9 or gap >= 0.10,
+                    "codes kept": 3 - territory["required"],
+                    "territory totals conserved": quality.differ(territory["total"], coarse["total"]),
+                },
+            ),
+            quality.over_keys(
+                by_pair,
+                national_counts_conserved=F.sum("source_n") != F.lit(nation["total"]),
+                territorial_below_national=F.sum("local_n") >= F.sum("source_n"),
+                entities_conserved=F.count("source_rows") != F.sum("dim_rows"),
+                facts_without_entity=F.count_if(F.col("local_rows").isNotNull() & F.col("dim_rows").isNull()),
+            ),
+            quality.grouped_checks(
+                dim, {"rows": F.count(F.lit(1))},
+                ("natural key", pair, quality.repeated),
+                ("segment label", ["segment"], quality.repeated),
+                ("two groups", ["grp"], lambda where: F.count_if(where & F.col("grp").isNotNull()) != 2),
+            ),
+            quality.sums_to_one(star.with_cell_share(national), ["period", "grp"], "share", "shares of periods"),
+            quality.grouped_checks(
+                states,
+                {"rows": F.count(F.lit(1)), "share_sum": F.sum("share"), "smooth_sum": F.sum("smooth")},
+                ("grid complete", KEYS, quality.broken(F.col("rows") != F.lit(calendar["rows"]))),
+                ("profile shares", KEYS, quality.broken(F.abs(F.col("share_sum") - 1) > 1e-9)),
+                ("smoothed shares", KEYS, quality.broken(smooth)),
             ),
             quality.membership(bridge, traits, "group 0 without traits", KEYS),
-            quality.row_checks(bridge, quality.distance_coherent("distance of members")),
             quality.empty_groups(groups, bridge, "no empty group"),
             quality.label_count(LABELS, len(CENTRES), groups, "one label per group"),
-            quality.row_checks(
-                quotients, quality.not_positive(["observed", "expected"], "cells positive")
-            ),
-            quality.sparsity(quotients, "sparsity"),
             quality.median_index(quotients, "median index", floor=60),
-            quality.row_checks(
-                territories,
-                quality.flag_coherent(F.col("overseas"), overseas, "overseas flag"),
-                quality.blank("label", "territory labels"),
-                quality.blank("region_label", "region labels"),
-                quality.not_positive(["total"], "territory totals"),
-            ),
-            quality.missing_codes(territories, "territory", ["01", "970", "2A"], "codes kept"),
             quality.orphans(territories, cells, ["territory"], "territories without cell"),
-            quality.same_total(territories, "total", cells, "observed", "territory totals conserved"),
         ]
     )
 
