@@ -120,6 +120,25 @@ def test_draws_have_the_exact_size_and_no_repeats(spark):
     assert one != two
 
 
+@pytest.mark.parametrize("rows,fraction,draws", [(0, 0.8, 3), (1, 0.8, 2), (1, 1.0, 2), (7, 0.5, 63), (5000, 0.013, 5)])
+def test_draws_are_bits_of_one_row(spark, rows, fraction, draws):
+    df = spark.range(rows).withColumn("x", F.col("id") % 3)
+    bits = cluster.drawn(df, ["id"], fraction, draws, seed=3)
+    assert bits.count() == rows
+    per_row = [r["draws"] for r in bits.collect()]
+    assert [sum(b >> d & 1 for b in per_row) for d in range(draws)] == [int(fraction * rows)] * draws
+    weights = cluster.draw_weights(bits, ["x"], draws).groupBy("draw").agg(F.sum("weight").alias("n")).collect()
+    assert {r["draw"]: r["n"] for r in weights} == {d + 1: int(fraction * rows) for d in range(draws) if int(fraction * rows)}
+    with pytest.raises(ValueError, match="63"):
+        cluster.drawn(df, ["id"], fraction, 64)
+
+
+def test_entities_are_never_copied_for_the_draws(spark, capsys):
+    df = spark.range(100).withColumn("x", F.col("id") % 3)
+    cluster.drawn(df, ["id"]).explain("formatted")
+    assert "Generate" not in capsys.readouterr().out
+
+
 def test_stability_of_separated_groups_is_one(blobs, model):
     scores = cluster.stability_by_draw(blobs, model, ["entity_id"], draws=3, restarts=4)
     row = cluster.stability(scores).first()

@@ -364,38 +364,97 @@ def adjusted_rand(df: DataFrame, first: str, second: str, weight: Column | None
     return sums.select(*by, index.alias("rand_index"))
 
 
+# A draw's cut lies within this many standard deviations of where it is expected.
+_SLACK = 8.0
+
+
+def _hash_of(draw: int, keys: Sequence[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.lit(draw), *keys)
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], size: int, rows: int, draws: int, seed: int) -> list[int]:
+    """For each draw, the ``size``-th smallest hash of all ``rows`` rows.
+
+    Hashes are spread evenly, so the cut is looked for in a bracket around its expected place.  One
+    pass counts the rows below every draw's bracket; only the few inside it, as many as the square
+    root of all, become rows of their own and are sorted.
+    """
+    share = size / rows
+    slack = _SLACK * (share * (1 - share) / rows) ** 0.5 + 2 / rows
+    while True:
+        low, high = (int((max(0.0, min(1.0, share + x)) - 0.5) * (2**64 - 1)) for x in (-slack, slack))
+        low, high = max(low, -(2**63)), min(high, 2**63 - 1)
+        hashes = [_hash_of(d, keys, seed) for d in range(1, draws + 1)]
+        below = df.agg(*[F.count_if(h < F.lit(low)).alias(f"d{d}") for d, h in enumerate(hashes, 1)]).first()
+        near = F.filter(
+            F.array(*[F.struct(F.lit(d).alias("draw"), h.alias("hash")) for d, h in enumerate(hashes, 1)]),
+            lambda x: x["hash"].between(F.lit(low), F.lit(high)),
+        )
+        inside = df.select(F.inline(near))
+        wanted = F.element_at(F.array(*[F.lit(size - below[f"d{d}"]) for d in range(1, draws + 1)]), F.col("draw"))
+        place = F.row_number().over(Window.partitionBy("draw").orderBy("hash"))
+        found = inside.withColumn("place", place).filter(F.col("place") == wanted).select("draw", "hash").collect()
+        if len(found) == draws:  # a row for each draw, which are run parameters
+            return [h for _, h in sorted((r["draw"], r["hash"]) for r in found)]
+        slack *= 8
+
+
+def drawn(df: DataFrame, keys: Sequence[str], fraction: float = 0.8, draws: int = 20, seed: int = 0) -> DataFrame:
+    """``df`` with the long ``draws``: bit d - 1 is set if the row is in draw d.
+
+    Each draw is an exact sample of floor(fraction × N) rows, those with the smallest hashes.  Rows
+    are read once to find the cuts and once for the bits, whatever the number of draws (63 at most),
+    and are never copied.  Hashes depend on the keys alone, which are to be unique: a lost executor
+    recomputes the same draws.
+    """
+    if not 1 <= draws <= 63:
+        raise ValueError("1 to 63 draws fit a long")
+    rows = df.count()
+    size = int(fraction * rows)
+    if not size:
+        return df.withColumn("draws", F.lit(0).cast("long"))
+    cuts = _cuts(df, keys, size, rows, draws, seed)
+    bits = [
+        F.when(_hash_of(d, keys, seed) <= F.lit(cut), F.lit(1 << (d - 1))).otherwise(0).cast("long")
+        for d, cut in enumerate(cuts, 1)
+    ]
+    return df.withColumn("draws", reduce(Column.bitwiseOR, bits))
+
+
+def _bit(draw: int) -> Column:
+    return F.shiftrightunsigned("draws", draw - 1).bitwiseAND(F.lit(1).cast("long"))
+
+
 def draw_without_replacement(df: DataFrame, keys: Sequence[str], fraction: float = 0.8,
                              draws: int = 20, seed: int = 0) -> DataFrame:
-    """``draws`` exact samples of floor(fraction × N) rows, tagged ``draw`` from 1.
+    """The rows of ``drawn`` once for each draw they are in, tagged ``draw`` from 1."""
+    chosen = [F.when(_bit(d) == 1, d) for d in range(1, draws + 1)]
+    tagged = drawn(df, keys, fraction, draws, seed).withColumn("draw", F.explode(F.array_compact(F.array(*chosen))))
+    return tagged.select("draw", *df.columns)
 
-    A row is in a draw if its hash is among the smallest.  The cut is found on a histogram
-    of the high hash bits, so only the one bin that straddles it has to be sorted.  Hashes
-    depend on the keys alone: a lost executor recomputes the same draw.
+
+def draw_weights(rows: DataFrame, features: Sequence[str], draws: int) -> DataFrame:
+    """``(draw, *features, weight)``: how many rows of each draw share a point.
+
+    ``rows`` has the bits ``draws``.  They are summed to one row per point with a count for each draw,
+    and only those few rows are unfolded.
     """
-    size = int(fraction * df.count())
-    tagged = (
-        df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("_hash", F.xxhash64(F.lit(seed), "draw", *keys))
-        .withColumn("_bin", F.shiftrightunsigned("_hash", 48))
-    )
-    upto = F.sum("_n").over(Window.partitionBy("draw").orderBy("_bin"))
-    cut = (
-        tagged.groupBy("draw", "_bin")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_upto", upto)
-        .filter((F.col("_upto") >= size) & (F.col("_upto") - F.col("_n") < size))
-        .select("draw", F.col("_bin").alias("_cut"), (F.lit(size) - F.col("_upto") + F.col("_n")).alias("_need"))
-    )
-    joined = tagged.join(materialise(cut, "cuts"), "draw")
-    inside = joined.filter(F.col("_bin") < F.col("_cut"))
-    lowest = Window.partitionBy("draw").orderBy("_hash", *keys)
-    rim = (
-        joined.filter(F.col("_bin") == F.col("_cut"))
-        .withColumn("_place", F.row_number().over(lowest))
-        .filter(F.col("_place") <= F.col("_need"))
-        .drop("_place")
+    summed = rows.groupBy(*features).agg(F.array(*[F.sum(_bit(d)) for d in range(1, draws + 1)]).alias("_weights"))
+    unfolded = summed.select(*features, F.posexplode("_weights").alias("_place", "weight"))
+    return unfolded.filter("weight > 0").select((F.col("_place") + 1).alias("draw"), *features, "weight")
+
+
+def agreement_by_draw(weights: DataFrame, model: Archetypes, refits: Sequence[Sequence[Sequence[float]]]) -> DataFrame:
+    """Adjusted Rand index, by draw, of the groups of ``model`` with those of each draw's own centres."""
+    labelled = assign(weights, model).withColumnRenamed("archetype", "reference")
+    z = model.scale.columns()
+    # The draw number picks its own refit; draws and groups are run parameters, not data.
+    trial = reduce(
+        lambda chain, d: chain.when(F.col("draw") == d + 1, _nearest(z, refits[d]).archetype),
+        range(1, len(refits)),
+        F.when(F.col("draw") == 1, _nearest(z, refits[0]).archetype),
     )
-    return inside.unionByName(rim).select("draw", *df.columns)
+    return adjusted_rand(labelled.withColumn("trial", trial), "reference", "trial", F.col("weight"), ["draw"])
 
 
 def stability_by_draw(
@@ -410,22 +469,10 @@ def stability_by_draw(
 ) -> DataFrame:
     """Agreement (adjusted Rand) of the full grouping with a refit on each draw."""
     features = list(model.scale.features)
-    sample = draw_without_replacement(df.select(*keys, *features), keys, fraction, draws, seed)
-    drawn = materialise(
-        sample.groupBy("draw", *features).agg(F.count("*").alias("weight")), "draws"
-    )
-    fits = fit_many(drawn, model.scale, len(model.centres), restarts, seed)
-    refits = [fits[draw].centres for draw in range(1, draws + 1)]
-    labelled = assign(drawn, model).withColumnRenamed("archetype", "reference")
-    z = model.scale.columns()
-    # The draw number picks its own refit; draws and groups are run parameters, not data.
-    trial = reduce(
-        lambda chain, d: chain.when(F.col("draw") == d + 1, _nearest(z, refits[d]).archetype),
-        range(1, draws),
-        F.when(F.col("draw") == 1, _nearest(z, refits[0]).archetype),
-    )
-    labelled = labelled.withColumn("trial", trial)
-    return adjusted_rand(labelled, "reference", "trial", F.col("weight"), ["draw"])
+    rows = drawn(df.select(*keys, *features), keys, fraction, draws, seed)
+    weights = materialise(draw_weights(rows, features, draws), "draws")
+    fits = fit_many(weights, model.scale, len(model.centres), restarts, seed)
+    return agreement_by_draw(weights, model, [fits[draw].centres for draw in range(1, draws + 1)])
 
 
 def stability(scores: DataFrame) -> DataFrame:

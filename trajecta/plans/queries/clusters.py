@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.config import Settings
-from trajecta.operators import archetypes, cluster, describe, trajectory
+from trajecta.operators import archetypes, cluster, describe, quality, trajectory
 from trajecta.plans import observations as obs
 from trajecta.plans.catalog import registered
 from trajecta.plans.queries.trajectories import landed_fact, part_states, part_traits
@@ -178,6 +180,94 @@ def stability_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.stability_by_draw(traits, _fitted_model(traits), KEYS)
 
 
+DRAWS = 4
+
+
+def _given_draws_sql() -> str:
+    """Members of each draw by arithmetic, one pass of centres for each, and the pair counts."""
+    return f"""
+    members AS (
+      SELECT s.entity, s.grp, s.zx, s.zy, d.draw FROM scaled s
+      JOIN (SELECT unnest(range(1, {DRAWS + 1})) AS draw) d ON (s.entity * 7 + d.draw * 13) % 10 < 8),
+    moved AS (
+      SELECT draw, row_number() OVER (PARTITION BY draw ORDER BY cx, cy) AS trial, cx, cy FROM (
+        SELECT d.draw, c.archetype, COALESCE(AVG(m.zx), any_value(c.cx)) AS cx, COALESCE(AVG(m.zy), any_value(c.cy)) AS cy
+        FROM centres c CROSS JOIN (SELECT DISTINCT draw FROM members) d
+        LEFT JOIN (SELECT m.*, a.archetype FROM members m JOIN assigned a USING (entity, grp)) m
+          ON m.draw = d.draw AND m.archetype = c.archetype
+        GROUP BY d.draw, c.archetype)),
+    labelled AS (
+      SELECT m.draw, m.entity, m.grp, a.archetype AS reference, t.trial
+      FROM members m JOIN assigned a USING (entity, grp)
+      JOIN (SELECT m.draw, m.entity, m.grp,
+                   arg_min(v.trial, ((m.zx - v.cx) * (m.zx - v.cx) + (m.zy - v.cy) * (m.zy - v.cy), v.trial)) AS trial
+            FROM members m JOIN moved v ON v.draw = m.draw GROUP BY 1, 2, 3) t
+        ON t.draw = m.draw AND t.entity = m.entity AND t.grp = m.grp),
+    cells2 AS (SELECT draw, reference, trial, CAST(COUNT(*) AS DOUBLE) AS n FROM labelled GROUP BY 1, 2, 3),
+    both_ AS (SELECT draw, SUM(n * (n - 1) / 2) AS s, SUM(n) AS n FROM cells2 GROUP BY 1),
+    a_ AS (SELECT draw, SUM(n * (n - 1) / 2) AS s FROM (SELECT draw, reference, SUM(n) AS n FROM cells2 GROUP BY 1, 2) GROUP BY 1),
+    b_ AS (SELECT draw, SUM(n * (n - 1) / 2) AS s FROM (SELECT draw, trial, SUM(n) AS n FROM cells2 GROUP BY 1, 2) GROUP BY 1)
+    SELECT draw, CAST(both_.n AS BIGINT) AS members,
+           ROUND((both_.s - a_.s * b_.s / (both_.n * (both_.n - 1) / 2))
+                 / ((a_.s + b_.s) / 2 - a_.s * b_.s / (both_.n * (both_.n - 1) / 2)), 9) AS rand_index
+    FROM both_ JOIN a_ USING (draw) JOIN b_ USING (draw)"""
+
+
+@registered("stability_given_draws", f"WITH {ASSIGNED},{_given_draws_sql()}")
+def stability_given_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of given groups with a refit of one pass on each of four given draws of the parts."""
+    traits = _traits(spark, sf_dir)
+    model = _given_model(traits)
+    bits = [
+        F.when((F.col("entity") * 7 + d * 13) % 10 < 8, F.lit(1 << (d - 1))).otherwise(0).cast("long")
+        for d in range(1, DRAWS + 1)
+    ]
+    rows = traits.withColumn("draws", reduce(Column.bitwiseOR, bits))
+    weights = materialise(cluster.draw_weights(rows, list(model.scale.features), DRAWS), "draws")
+    refits = [cluster.lloyd(weights.filter(F.col("draw") == d), model.scale, CENTRES, 1).centres for d in range(1, DRAWS + 1)]
+    scores = cluster.agreement_by_draw(weights, model, refits)
+    members = weights.groupBy("draw").agg(F.sum("weight").alias("members"))
+    return scores.join(members, "draw").select(
+        F.col("draw").cast("long").alias("draw"), "members", F.round("rand_index", 9).alias("rand_index")
+    )
+
+
+_FIT_CHECKS = (
+    "centre is the mean of its members", "member is nearest to its centre", "groups numbered by epoch", "every part has a group",
+)
+
+
+@registered(
+    "kmeans_fit_checks",
+    " UNION ALL ".join(f"SELECT '{name}' AS \"check\", CAST(0 AS BIGINT) AS violations" for name in _FIT_CHECKS),
+)
+def kmeans_fit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any fit must hold, whichever local optimum its starts lead to: the fit stops when centres
+    move by less than a hundredth of a standard deviation, so means agree to that."""
+    traits = _traits(spark, sf_dir)
+    model = _fitted_model(traits)
+    axes = [f"z_{c}" for c in model.scale.features]
+    labelled = cluster.standardise(cluster.assign(traits, model), model.scale)
+    centres = spark.createDataFrame(
+        [(k, *c) for k, c in enumerate(model.centres, 1)], f"archetype int, {', '.join(f'c_{a} double' for a in axes)}"
+    )
+    means = labelled.groupBy("archetype").agg(*[F.avg(a).alias(a) for a in axes])
+    apart = sum((F.abs(F.col(a) - F.col(f"c_{a}")) > 0.02).cast("int") for a in axes)
+    to_centre = [
+        sum((F.col(a) - F.lit(float(v))) * (F.col(a) - F.lit(float(v))) for a, v in zip(axes, c)) for c in model.centres
+    ]
+    farther = F.col("distance") * F.col("distance") > F.array_min(F.array(*to_centre)) + 1e-9
+    ordered = list(model.centres) == sorted(model.centres)
+    return quality.report(
+        [
+            quality.over_keys(means.join(centres, "archetype"), **{_FIT_CHECKS[0].replace(" ", "_"): F.sum(apart)}),
+            quality.row_checks(labelled, (_FIT_CHECKS[1], farther)),
+            quality.known(spark, {_FIT_CHECKS[2]: not ordered}),
+            quality.row_checks(labelled, (_FIT_CHECKS[3], F.col("archetype").isNull() | ~F.col("archetype").between(1, len(CENTRES)))),
+        ]
+    ).drop("passed")
+
+
 @registered(
     "archetype_dim",
     f"""WITH {ASSIGNED},
