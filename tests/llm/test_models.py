@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import awkward
-from trajecta.llm import language, quality, toxicity
+from trajecta.llm import language, learning, quality, toxicity
 
 MIDDLE = "/root/testdata/sf0.01"
 LABELS = "doc_id long, quality int, toxic int"
@@ -157,3 +157,20 @@ def test_toxic_documents_are_recalled_from_few_labels(tables):
     toxic = [r.predicted for r in rows if r.toxic == 1]
     clean = [r.predicted for r in rows if r.toxic == 0]
     assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_a_doc_id_in_many_rows_is_one_document_of_a_sample(spark, monkeypatch):
+    """One id holds nearly all rows, alike and not: each sample takes one text of it."""
+    hot = [(7, f"the same id {k % 9} with a text of its own", "en") for k in range(2000)]
+    rows = [*hot, *[(k, f"der text nummer {k}", "de") for k in range(10, 20)], *[(k, f"the text {k}", "en") for k in range(20, 30)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, d % 2, d % 2) for d in {r[0] for r in rows}], "doc_id long, quality int, toxic int")
+    sample = learning.labelled_sample(docs, labels, "toxic", 5, 0, 50).collect()
+    assert len(sample) == len({r.doc_id for r in sample})
+    assert [r.text for r in sample if r.doc_id == 7] in ([], [r.text for r in learning.labelled_sample(
+        docs.repartition(7), labels, "toxic", 5, 0, 50).collect() if r.doc_id == 7])
+    seen = []
+    monkeypatch.setattr(language, "train", lambda x, y, languages: seen.append((x, y, languages)))
+    language.fit(docs, 50)
+    (x, y, languages), = seen
+    assert languages == ["de", "en"] and len(x) < 50

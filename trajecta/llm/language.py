@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.learning import remainder
+from trajecta.llm.learning import one_text, remainder
 
 FOLDS, HELD = 3, 1
 PER_LANGUAGE = 400  # documents of each language that the network is trained on
@@ -28,6 +28,7 @@ UNDETERMINED = "und"
 _SEED = 3
 _ROWS = 4096  # segments that advance together
 _READ_BYTES = 1 << 20
+_SLICES = 16
 _PAD = 256
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)] + [_PAD], np.int64)
 
@@ -175,17 +176,21 @@ def _documents(texts: list[bytes | None], network: Network) -> tuple[list[str],
     return [network.languages[k] for k in best], np.clip(pooled.max(axis=1), 0, 1).tolist()
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
-    """Network learned from documents outside the held-out fold; None without a language."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, segments_each: int = SEGMENTS_EACH) -> Network | None:
+    """Network learned from documents outside the held-out fold; None without a language.
+
+    ``per_language`` ids of each language are chosen by a hash, each gives one text, and of that
+    ``segments_each`` segments are read, evenly spaced.
+    """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(
         remainder(F.col("doc_id"), FOLDS) != HELD
     )
+    ids = known.select("doc_id", "lang").distinct().withColumn("spot", F.xxhash64("doc_id"))
     order = Window.partitionBy("lang").orderBy("spot", "doc_id")
-    # First within slices of a language, so that no task sees more than the slices' first rows.
+    # First within slices of a language, so that no task sees more than the slices' first ids.
     sliced = Window.partitionBy("lang", "slice").orderBy("spot", "doc_id")
     chosen = (
-        known.select("doc_id", "lang", F.xxhash64("doc_id").alias("spot"))
-        .withColumn("slice", F.pmod(F.xxhash64("spot"), F.lit(64)))
+        ids.withColumn("slice", F.pmod(F.xxhash64("spot"), F.lit(_SLICES)))
         .withColumn("place", F.row_number().over(sliced))
         .filter(F.col("place") <= per_language)
         .withColumn("place", F.row_number().over(order))
@@ -196,14 +201,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     def spread(column: pd.Series) -> pd.Series:
         out = []
         for text in column:
-            starts = np.unique(np.linspace(0, max(0, len(text) - SEGMENT), SEGMENTS_EACH).astype(int))
+            starts = np.unique(np.linspace(0, max(0, len(text) - SEGMENT), segments_each).astype(int))
             out.append([text[s : s + SEGMENT] for s in starts if text[s : s + SEGMENT].strip()])
         return pd.Series(out, dtype=object)
 
-    # At most per_language rows of a few segments for each language.
+    # One text of each chosen id: at most per_language rows of a few segments for each language.
     rows = (
         known.select("doc_id", "lang", "text")
         .join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang")))
+        .groupBy("lang", "place")
+        .agg(one_text())
         .select("lang", "place", F.pandas_udf(spread, "array<binary>")(F.col("text").cast("binary")).alias("x"))
         .toPandas()
     )

@@ -18,8 +18,9 @@ def labelled_sample(
 
     Rows of the held-out fold never take part.  A doc_id that is labelled more than once counts
     with its larger label; null labels, null ids and other values are left out.  The choice
-    follows a hash of the id, so it does not depend on the layout of the tables.  The sample's
-    ids are at most ``2 * per_class`` rows and go to all tasks; texts are not shuffled.
+    follows a hash of the id, so it does not depend on the layout of the tables.  A doc_id in many
+    rows gives one of its texts, the one with the least hash: ``2 * per_class`` rows at most, whose
+    ids go to all tasks.  Each task keeps one text of an id, so none is gathered.
     """
     known = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -32,4 +33,10 @@ def labelled_sample(
     first = [known.filter(F.col("label") == c).orderBy(*spot).limit(per_class) for c in (0, 1)]
     chosen = first[0].union(first[1]).select(F.col("doc_id").alias("chosen_id"), "label")
     texts = docs.select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
+    return rows.groupBy("doc_id", "label").agg(one_text()).select("doc_id", "text", "label")
+
+
+def one_text() -> Column:
+    """The text of a group with the least hash, whatever the order of its rows."""
+    return F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
