@@ -44,6 +44,14 @@ def test_encoding_agrees_with_the_library(encoder, library, text):
     assert agrees(encoder, library, text) or any(_newer(c) for c in text)
 
 
+def test_marks_newer_than_the_library_stay_in_place(encoder, library):
+    new = ["\u07fd", "\u0898", "\u0d3b", "\u1715", "\u1abf", "\u1ace", "\u1df6", "\ua82c", "\U0001193d", "\U0001e4ef"]
+    for mark in new:
+        for other in ("\u1bf2", "\u0316", "\u0301", "\u0345"):
+            assert agrees(encoder, library, f"a{mark}{other}e{other}{mark}{other}")
+    assert agrees(encoder, library, "\U00011935\U00011930")
+
+
 def _newer(c):
     """Unassigned in this Python's Unicode, where the library may know more."""
     import unicodedata

@@ -31,6 +31,15 @@ _NEVER = 1 << 62
 _MOST_WORDS = 150_000  # encoded words that a worker keeps
 _MOST_ARCS = 400_000  # arcs that a worker keeps resolved
 _YIELD_BYTES = 2 << 20  # text that goes into one output batch
+# Marks, and letters that only came to be composed, which are newer than the library's Unicode tables:
+# it takes them for symbols that neither change places with marks nor join a letter.
+_NEWER = re.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85"
+    "\U00011070\U0001133b\U0001145e\U00011839\U0001183a\U00011930\U0001193d\U0001193e\U00011943\U000119e0\U00011a34"
+    "\U00011a47\U00011a99\U00011d42\U00011d44\U00011d45\U00011d97\U00011f41\U00011f42\U00016ff0\U00016ff1\U0001e08f"
+    "\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])"
+)
 
 
 class Automaton:
@@ -192,6 +201,13 @@ _L, _N = _ranges("L"), _ranges("N")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACE}{_L}{_N}]+")
 
 
+def _composed(text: str) -> str:
+    """NFC by the library's tables."""
+    if text.isascii() or not _NEWER.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in _NEWER.split(text))
+
+
 class Encoder:
     """Encodes whole texts with a vocabulary file of the kind described in ``encode``."""
 
@@ -218,7 +234,7 @@ class Encoder:
         return self.words[chunk] if found == [chunk] else b"".join(map(self.words.__getitem__, found))
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # Σ lowers alike everywhere
+        text = _composed(text).replace("Σ", "σ").lower()  # Σ lowers alike everywhere
         chunks = _GAPS.split(text) if _CONTROLS.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, chunks))
 
