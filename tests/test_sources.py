@@ -2,9 +2,12 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from trajecta import session
 from trajecta.plans import stages
+from trajecta.plans.catalog import QUERIES
+import trajecta.plans.queries  # noqa: F401  (registers the queries)
 from trajecta.sources import digests, provenance, shapes
 from trajecta.sources.manifest_log import ManifestLog, differences
 from trajecta.sources.register import clean_rows, read_code_list, read_register
@@ -60,6 +63,33 @@ def test_digests_are_read_in_ranges(tmp_path, monkeypatch):
     assert digests.digest((tmp_path / "f").as_uri()) == (7, hashlib.sha256(b"abcdefg").hexdigest())
 
 
+@pytest.mark.parametrize("streamed", [True, False])
+def test_parts_of_a_file_are_hashed_in_the_order_of_their_numbers(spark, tmp_path, monkeypatch, streamed):
+    for folder, parts in (("lang=en", {"part-00002": b"b", "part-00010": b"c", "part-100000": b"d"}), ("lang=fr", {"part-00000": b"one"})):
+        (tmp_path / folder).mkdir()
+        for name, content in parts.items():
+            (tmp_path / folder / name).write_bytes(content)
+    monkeypatch.setattr(provenance, "can_stream", lambda uri: streamed)
+    got = {r["fichier"]: (r["octets"], r["sha256"]) for r in provenance.fingerprints(spark, str(tmp_path), in_parts=True).collect()}
+    assert got == {"lang=en": (3, hashlib.sha256(b"bcd").hexdigest()), "lang=fr": (3, hashlib.sha256(b"one").hexdigest())}
+
+
+def test_no_task_writes_the_landed_file_of_a_language(spark, tmp_path, monkeypatch):
+    """One language in several tasks, its parts in the order of the documents."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    monkeypatch.setattr(provenance, "_whole", lambda rows, whole=provenance._whole: seen.append(rows) or whole(rows))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        (one,) = QUERIES["landed_file_fingerprints"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    content = "".join(f"text {i}\n" for i in range(4000)).encode()
+    assert (one["lang"], one["octets"], one["sha256"]) == ("en", len(content), hashlib.sha256(content).hexdigest())
+    assert len(seen[0]) > 1 and max(size for _, _, size, _ in seen[0]) < len(content) / 2
+
+
 def _declared(spark, *rows):
     return spark.createDataFrame(
         [(n, 2025, "u", f, None) for n, f in rows],

@@ -130,12 +130,16 @@ _LANDED = "SELECT lang, string_agg(text || chr(10), '' ORDER BY doc_id) AS conte
     f"""SELECT lang, CAST(strlen(content) AS BIGINT) AS octets, sha256(content) AS sha256 FROM ({_LANDED})""",
 )
 def landed_file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and SHA-256 of text files that hold all documents of a language, as they lie on disk."""
+    """Size and SHA-256 of text files that hold all documents of a language, as they lie on disk.
+
+    A file lies in parts, each with a range of its documents, so no task sorts or writes a language.
+    """
     folder = f"{scratch_dir(spark)}/landed-{uuid.uuid4().hex}"
     texts = obs.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    texts.repartition("lang").sortWithinPartitions("lang", "doc_id").select("text", "lang").write.partitionBy("lang").text(folder)
-    found = provenance.fingerprints(spark, folder)
-    return found.select(F.regexp_extract("fichier", "lang=([^/]*)/", 1).alias("lang"), "octets", "sha256")
+    ranges = texts.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    ranges.select("text", "lang").write.partitionBy("lang").text(folder)
+    found = provenance.fingerprints(spark, folder, in_parts=True)
+    return found.select(F.regexp_extract("fichier", "lang=([^/]*)", 1).alias("lang"), "octets", "sha256")
 
 
 @registered(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
 
@@ -38,19 +38,20 @@ def open_stream(uri: str) -> pa.NativeFile:
     return system.open_input_stream(path, buffer_size=0)
 
 
-def digest(uri: str) -> tuple[int, str]:
-    """Bytes read and their SHA-256."""
+def digest(*uris: str) -> tuple[int, str]:
+    """Bytes read and their SHA-256, of one file or of the parts of one in their order."""
     found, size = hashlib.sha256(), 0
-    with open_stream(uri) as stream:
-        while block := stream.read(RANGE_BYTES):
-            found.update(block)
-            size += len(block)
+    for uri in uris:
+        with open_stream(uri) as stream:
+            while block := stream.read(RANGE_BYTES):
+                found.update(block)
+                size += len(block)
     return size, found.hexdigest()
 
 
 @dataclass
 class Files(InputPartition):
-    uris: list[str]
+    files: dict[str, list[str]]  # the parts of each
 
 
 def shares(files: list[tuple[str, int]], most: int = TASK_BYTES) -> list[list[str]]:
@@ -67,19 +68,21 @@ def shares(files: list[tuple[str, int]], most: int = TASK_BYTES) -> list[list[st
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, files: list[tuple[str, int]]) -> None:
-        self.files = files
+    def __init__(self, files: list[tuple[str, int]], parts: dict[str, list[str]]) -> None:
+        self.files, self.parts = files, parts
 
     def partitions(self) -> list[Files]:
-        return [Files(uris) for uris in shares(self.files)] or [Files([])]
+        dealt = [Files({uri: self.parts.get(uri, [uri]) for uri in uris}) for uris in shares(self.files)]
+        return dealt or [Files({})]
 
     def read(self, partition: Files) -> Iterator[tuple[str, int, str]]:
-        for uri in partition.uris:
-            yield (uri, *digest(uri))
+        for uri, parts in partition.files.items():
+            yield (uri, *digest(*parts))
 
 
 class FileDigests(DataSource):
-    """``files`` is a JSON list of URIs and sizes, as the storage layer lists them."""
+    """``files`` is a JSON list of URIs and sizes, as the storage layer lists them; ``parts`` names
+    the parts of those that lie in several."""
 
     @classmethod
     def name(cls) -> str:
@@ -89,10 +92,13 @@ class FileDigests(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> _Reader:
-        return _Reader([(uri, size) for uri, size in json.loads(self.options["files"])])
+        files = [(uri, size) for uri, size in json.loads(self.options["files"])]
+        return _Reader(files, json.loads(self.options["parts"]))
 
 
-def read_digests(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
-    """``path, octets, sha256`` of files given by URI and size."""
+def read_digests(spark: SparkSession, files: list[tuple[str, int]],
+                 parts: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """``path, octets, sha256`` of files given by URI and size, some of them in ``parts``."""
     spark.dataSource.register(FileDigests)
-    return spark.read.format(FORMAT).option("files", json.dumps(files)).load()
+    given = spark.read.format(FORMAT).option("files", json.dumps(files))
+    return given.option("parts", json.dumps(dict(parts or {}))).load()

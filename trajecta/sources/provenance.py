@@ -49,23 +49,49 @@ def _listing(spark: SparkSession, path: str) -> list[tuple]:
     return rows
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+def _whole(rows: list[tuple]) -> tuple[list[tuple], dict[str, list[str]]]:
+    """The files of each folder of a listing as one, and its parts in their order.
+
+    Numbers of parts are padded with zeros up to some length, so a longer name comes later.
+    """
+    folders: dict[tuple[str, str], list[tuple]] = {}
+    for row in rows:
+        folders.setdefault((row[0].rpartition("/")[0], row[1].rpartition("/")[0]), []).append(row)
+    files, parts = [], {}
+    for (uri, name), held in folders.items():
+        held.sort(key=lambda row: (len(row[0]), row[0]))
+        files.append((uri, name, sum(row[2] for row in held), max(row[3] for row in held)))
+        parts[uri] = [row[0] for row in held]
+    return files, parts
+
+
+def fingerprints(spark: SparkSession, path: str, *, in_parts: bool = False) -> DataFrame:
     """Path, name, size, SHA-256 and modification time of every file under ``path``.
 
+    ``in_parts`` takes the files of one folder, as tasks write them, for the parts of one file in
+    the order of their numbers; it goes by the name of the folder.
+
     The listing comes from the storage layer and holds empty files as well.  Contents are streamed
     through the tasks, whatever the size of a file.  Where only the JVM reads the storage, a file
     is one value, and Spark refuses, by name, one of more than 2 GB.
     """
-    rows = [(uri, name, size, ms / 1000.0) for uri, name, size, ms in _listing(spark, path)]
+    rows, parts = [(uri, name, size, ms / 1000.0) for uri, name, size, ms in _listing(spark, path)], {}
+    if in_parts:
+        rows, parts = _whole(rows)
     listed = spark.createDataFrame(rows, "path string, fichier string, octets bigint, seconds double").select(
         "path", "fichier", "octets", F.col("seconds").cast("timestamp").alias("modified")
     )
     full = [(uri, size) for uri, _, size, _ in rows if size]
     if all(can_stream(uri) for uri, _ in full):
-        hashed = read_digests(spark, full).select(_location(F.col("path")).alias("at"), F.col("sha256").alias("hash"))
+        hashed = read_digests(spark, full, parts).select(_location(F.col("path")).alias("at"), F.col("sha256").alias("hash"))
     else:
         content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        hashed = content.select(_location(F.col("path")).alias("at"), F.sha2("content", 256).alias("hash"))
+        hashed = content.select(_location(F.col("path")).alias("at"), "content")
+        if in_parts:
+            joined = F.expr("listagg(content) WITHIN GROUP (ORDER BY struct(length(at), at))")
+            hashed = hashed.groupBy(F.regexp_replace("at", "/[^/]*$", "").alias("folder")).agg(joined.alias("content"))
+            hashed = hashed.withColumnRenamed("folder", "at")
+        hashed = hashed.select("at", F.sha2("content", 256).alias("hash"))
     whole = listed.join(hashed, _location(F.col("path")) == F.col("at"), "left")
     return whole.select(
         "fichier",
