@@ -92,6 +92,17 @@ def test_profile_needs_one_exchange_and_no_join(spark, capsys):
     assert "Join" not in main and "SinglePartition" not in main
 
 
+def test_a_task_gets_a_bounded_number_of_points(spark, monkeypatch):
+    """More points make more tasks, not larger ones, also where the planner would merge them."""
+    monkeypatch.setattr(trajectory, "TASK_POINTS", 100)
+    for points in (4000, 8000):
+        fact = spark.range(points).selectExpr("id DIV 7 AS entity", "int(id % 7) AS period", "id AS n")
+        periods = fact.select("period").distinct()
+        profiles = trajectory.profile(trajectory.dense_grid(fact, periods, KEYS), KEYS)
+        tasks = profiles.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > points / 200 and max(r["count"] for r in tasks) < 400
+
+
 def test_periods_are_ranked_by_count_then_age(spark):
     fact = spark.createDataFrame(
         [("a", 1, 5), ("a", 2, 9), ("a", 3, 5)], "entity string, period int, n bigint"

@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions.numbers import at_most_one, clamp, ratio
+from trajecta.session import dealt
 
 ENTITY = ("entity_id",)
 
+# Observed points of one task; the zeros of the dense grid make several rows of each.
+TASK_POINTS = 125_000
+
 
 def eligible(dim: DataFrame, threshold: int) -> DataFrame:
     """Entities with enough counts to have a trajectory at all."""
@@ -45,8 +49,11 @@ def dense_grid(
     """Every eligible entity × every known period, zeros included.
 
     ``fact`` must be at the grain (keys, period).  The missing periods are added inside
-    each entity's own row, so neither a cross join nor a second shuffle is needed.
+    each entity's own row, so neither a cross join nor a second shuffle is needed.  Tasks get a
+    bounded number of points, whatever the size of the fact, as everything after this works on
+    the unfolded rows of a task.
     """
+    fact = dealt(fact, keys, TASK_POINTS)
     known = periods.agg(F.sort_array(F.collect_set("period"))).scalar()
     gathered = eligible(series(fact, keys, top), threshold).withColumn("known", known)
     seen = F.transform("points", lambda p: p.period)
