@@ -103,6 +103,15 @@ def test_a_task_gets_a_bounded_number_of_points(spark, monkeypatch):
         assert len(tasks) > points / 200 and max(r["count"] for r in tasks) < 400
 
 
+def test_traits_take_other_aggregates_along(spark):
+    fact = spark.range(70).selectExpr("id % 10 AS entity", "int(id DIV 10) AS period", "id + 1 AS n")
+    grid = trajectory.dense_grid(fact, fact.select("period").distinct(), KEYS)
+    states = trajectory.states(trajectory.profile(grid, KEYS), KEYS)
+    found = trajectory.traits(states, KEYS, also={"rows": F.count(F.lit(1)), "shares": F.sum("share")})
+    assert found.drop("rows", "shares").columns == trajectory.traits(states, KEYS).columns
+    assert {(r["rows"], round(r["shares"], 9)) for r in found.collect()} == {(7, 1.0)}
+
+
 def test_periods_are_ranked_by_count_then_age(spark):
     fact = spark.createDataFrame(
         [("a", 1, 5), ("a", 2, 9), ("a", 3, 5)], "entity string, period int, n bigint"

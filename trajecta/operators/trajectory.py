@@ -7,9 +7,9 @@ one row per period, so no entity can be hot here.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions.numbers import at_most_one, clamp, ratio
@@ -134,13 +134,15 @@ def traits(
     low: float = 0.05,
     high: float = 0.95,
     tail: int = 9,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row of shape traits per entity.
+    """One row of shape traits per entity, and aggregates of its rows that are named in ``also``.
 
     Null rules are part of the result: a missing recency sum and an undefined asymmetry
     both become 1, because the clamps skip nulls.
     """
     strong = F.col("state") == 1
+    also = also or {}
     measured = stated.groupBy(*keys).agg(
         F.min(F.when(F.col("smooth") == F.col("peak_height"), F.col("period"))).alias("peak_period"),
         F.count_if(strong).alias("strong_width"),
@@ -150,6 +152,7 @@ def traits(
         F.sum(F.when(F.col("period") >= F.lit(pivot), F.col("n"))).alias("recent"),
         F.min(F.when(F.col("cumulative") >= F.lit(low), F.col("period"))).alias("start_period"),
         F.max(F.when(F.col("cumulative") <= F.lit(high), F.col("period"))).alias("end_period"),
+        *[value.alias(name) for name, value in also.items()],
     )
     climb = F.col("peak_period") - F.col("start_period")
     span = F.col("end_period") - F.col("start_period")
@@ -164,6 +167,7 @@ def traits(
         "end_period",
         clamp(ratio(climb, span)).alias("asymmetry"),
         (F.col("peak_period") >= F.lit(vintage - tail)).alias("ongoing"),
+        *also,
     )
 
 
