@@ -367,17 +367,15 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = materialise(obs.part_fact(spark, sf_dir), "fact")
     periods, calendar = quality.measured(star.period_dim(fact), "periods", rows=F.count(F.lit(1)))
     grid = trajectory.dense_grid(fact, periods, KEYS, obs.THRESHOLD)
-    states = trajectory.states(trajectory.profile(grid, KEYS), KEYS)
     # The sums of an entity's profile are taken with its traits, so the dense rows are never stored.
     sums = {"rows": F.count(F.lit(1)), "share_sum": F.sum("share"), "smooth_sum": F.sum("smooth")}
-    whole = F.coalesce(F.abs(F.col("share_sum") - 1) <= 1e-9, F.lit(False))
-    smooth = F.coalesce(F.abs(F.col("smooth_sum") - 1) <= 0.05, F.lit(False))
+    dense = trajectory.states(trajectory.profile(grid, KEYS), KEYS)
+    states = materialise(
+        trajectory.traits(dense, KEYS, pivot=obs.PIVOT, vintage=obs.VINTAGE, also=sums), "states"
+    )
     traits, _, trait_rules = quality.counted_rules(
-        trajectory.traits(states, KEYS, pivot=obs.PIVOT, vintage=obs.VINTAGE, also=sums),
+        states.drop(*sums),
         "traits",
-        ("grid complete", F.col("rows") != F.lit(calendar["rows"])),
-        ("profile shares", ~whole),
-        ("smoothed shares", ~smooth),
         quality.outside(["concentration", "recency", "asymmetry"], 0.0, 1.0, "traits in [0, 1]"),
         quality.not_positive(["strong_width", "strong_runs"], "strong run"),
         quality.flag_coherent(F.col("ongoing"), F.col("peak_period") >= obs.VINTAGE - 9, "ongoing flag"),
@@ -416,6 +414,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         local=(local.select("entity", F.col("grp").cast("string").alias("grp"), "n"), {"n": F.col("n")}),
         dim=(dim.select("entity", F.col("grp").cast("string").alias("grp")), {}),
     )
+    smooth = F.abs(F.col("smooth_sum") - 1) > 0.05
     gap = None if not quotient["observed"] else (quotient["observed"] - quotient["expected"]) / quotient["observed"]
     return quality.report(
         [
@@ -443,6 +442,13 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ("two groups", ["grp"], lambda where: F.count_if(where & F.col("grp").isNotNull()) != 2),
             ),
             quality.sums_to_one(star.with_cell_share(national), ["period", "grp"], "share", "shares of periods"),
+            quality.grouped_checks(
+                states,
+                {name: F.sum(name) for name in sums},
+                ("grid complete", KEYS, quality.broken(F.col("rows") != F.lit(calendar["rows"]))),
+                ("profile shares", KEYS, quality.broken(F.abs(F.col("share_sum") - 1) > 1e-9)),
+                ("smoothed shares", KEYS, quality.broken(smooth)),
+            ),
             quality.membership(bridge, traits, "group 0 without traits", KEYS),
             quality.empty_groups(groups, bridge, "no empty group"),
             quality.label_count(LABELS, len(CENTRES), groups, "one label per group"),
