@@ -225,7 +225,8 @@ _CONSERVED = (
 def conservation_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals are measured while the tables are written; the rest reads each of them once."""
     total = F.sum("n")
-    fact, facts = quality.measured(obs.part_fact(spark, sf_dir), "fact", total=total)
+    with obs.summing_lines(spark, sf_dir):
+        fact, facts = quality.measured(obs.part_fact(spark, sf_dir), "fact", total=total)
     fine, fines = quality.measured(obs.territorial_fact(spark, sf_dir), "territory-fact", total=total)
     cells, coarse = quality.measured(geo.territory_cells(fine, KEYS), "cells", total=F.sum("observed"))
     lines = obs.table(spark, sf_dir, "lineitem").select(
@@ -364,7 +365,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         star.entity_dim(national), "dim", quality.not_normalised("search", "search key")
     )
 
-    fact = materialise(obs.part_fact(spark, sf_dir), "fact")
+    fact = obs.landed_fact(spark, sf_dir)
     periods, calendar = quality.measured(star.period_dim(fact), "periods", rows=F.count(F.lit(1)))
     grid = trajectory.dense_grid(fact, periods, KEYS, obs.THRESHOLD)
     # The sums of an entity's profile are taken with its traits, so the dense rows are never stored.

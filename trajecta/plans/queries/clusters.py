@@ -11,7 +11,7 @@ from trajecta.config import Settings
 from trajecta.operators import archetypes, cluster, describe, quality, trajectory
 from trajecta.plans import observations as obs
 from trajecta.plans.catalog import registered
-from trajecta.plans.queries.trajectories import landed_fact, part_states, part_traits
+from trajecta.plans.queries.trajectories import part_states, part_traits
 from trajecta.session import materialise
 
 KEYS = obs.KEYS
@@ -282,7 +282,7 @@ def kmeans_fit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def archetype_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled groups and how many entities each one holds."""
-    fact = landed_fact(spark, sf_dir)
+    fact = obs.landed_fact(spark, sf_dir)
     members = _bridge(fact, _traits(spark, sf_dir, fact)).groupBy("archetype").agg(F.count("*").alias("members"))
     return (
         archetypes.archetype_dim(spark, LABELS)
@@ -299,7 +299,7 @@ def archetype_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM fact f LEFT JOIN assigned a ON a.entity = f.entity AND a.grp = f.grp""",
 )
 def archetype_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact = landed_fact(spark, sf_dir)
+    fact = obs.landed_fact(spark, sf_dir)
     return _bridge(fact, _traits(spark, sf_dir, fact)).withColumn("distance", F.round("distance", 9))
 
 
@@ -333,7 +333,7 @@ def group_mean_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM traits JOIN assigned USING (entity, grp) GROUP BY archetype""",
 )
 def group_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact = landed_fact(spark, sf_dir)
+    fact = obs.landed_fact(spark, sf_dir)
     traits = _traits(spark, sf_dir, fact)
     groups = archetypes.archetype_dim(spark, LABELS)
     return describe.group_composition(_bridge(fact, traits), groups, traits, KEYS)
@@ -353,7 +353,7 @@ def group_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances are rounded first: parts on the same point must tie exactly."""
     key = F.struct("entity", "grp")
-    fact = landed_fact(spark, sf_dir)
+    fact = obs.landed_fact(spark, sf_dir)
     bridge = _bridge(fact, _traits(spark, sf_dir, fact)).select(
         key.alias("entity_id"), "archetype", F.round("distance", 9).alias("distance")
     )

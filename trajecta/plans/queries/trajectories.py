@@ -8,19 +8,13 @@ from pyspark.sql import functions as F
 from trajecta.operators import describe, star, trajectory
 from trajecta.plans import observations as obs
 from trajecta.plans.catalog import registered
-from trajecta.session import materialise
 
 KEYS = obs.KEYS
 T = obs.TRAJECTORY
 
 
-def landed_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part fact as a table: the lines are scanned and summed once for all its readers."""
-    return materialise(obs.part_fact(spark, sf_dir), "fact")
-
-
 def _grid(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None) -> DataFrame:
-    fact = landed_fact(spark, sf_dir) if fact is None else fact
+    fact = obs.landed_fact(spark, sf_dir) if fact is None else fact
     return trajectory.dense_grid(fact, star.period_dim(fact), KEYS, obs.THRESHOLD)
 
 
@@ -40,7 +34,7 @@ def part_traits(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None)
 
 @registered("eligible_entities", f"WITH {T} SELECT entity, grp, total FROM eligible")
 def eligible_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = star.entity_profile(obs.part_fact(spark, sf_dir), rank=None)
+    profile = star.entity_profile(obs.landed_fact(spark, sf_dir), rank=None)
     return trajectory.eligible(profile, obs.THRESHOLD).select("entity", "grp", "total")
 
 
@@ -52,7 +46,7 @@ def eligible_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM eligible""",
 )
 def eligibility_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = star.entity_profile(obs.part_fact(spark, sf_dir), rank=None)
+    profile = star.entity_profile(obs.landed_fact(spark, sf_dir), rank=None)
     return describe.eligibility_coverage(profile, obs.THRESHOLD)
 
 
