@@ -1,10 +1,11 @@
-"""Sums of the part fact are made in tasks of a bounded size."""
+"""Sums of the part fact, and the curves, are made in tasks of a bounded size."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from trajecta import session
 from trajecta.plans import observations
+from trajecta.plans.queries import clusters
 
 SETTINGS = (
     "spark.sql.shuffle.partitions",
@@ -53,3 +54,11 @@ def test_the_fact_is_written_in_small_tasks(spark, lines, monkeypatch):
     assert seen == ["100"] and _settings(spark) == before
     sums = found.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     assert tuple(sums) == (20, 400 * 401 // 2)
+
+
+def test_dense_rows_of_the_curves_are_neither_stored_nor_shuffled(spark, lines, monkeypatch, capsys):
+    monkeypatch.setattr(observations, "THRESHOLD", 1)
+    clusters.group_mean_curve(spark, lines).explain("formatted")
+    plan = capsys.readouterr().out.split("===== Subqueries =====")[0]
+    shuffled = [line for line in plan.splitlines() if "hashpartitioning(entity" in line]
+    assert len(shuffled) <= 2 and "states-" not in plan

@@ -315,8 +315,11 @@ def _bridge(fact: DataFrame, traits: DataFrame) -> DataFrame:
     FROM profiles JOIN assigned USING (entity, grp) GROUP BY 1, 2""",
 )
 def group_mean_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = materialise(part_states(spark, sf_dir), "states")
-    traits = trajectory.traits(states, KEYS, pivot=obs.PIVOT, vintage=obs.VINTAGE)
+    # The dense rows are made again for the curves, in the tasks of the grid: stored, they would be
+    # shuffled and sorted for the join, several of them for each fact.
+    fact = obs.landed_fact(spark, sf_dir)
+    traits = _traits(spark, sf_dir, fact)
+    states = part_states(spark, sf_dir, fact)
     curves = archetypes.mean_curve(states, cluster.assign(traits, _given_model(traits)), KEYS)
     return curves.withColumn("mean_share", F.round("mean_share", 9))
 
