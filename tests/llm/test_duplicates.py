@@ -1,8 +1,10 @@
 """SimHash groups, components, compact windows and repeated passages against brute force."""
 
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -281,3 +283,30 @@ def test_a_text_under_a_shared_id_stays_in_its_own_group(spark):
         rows = [(3, x), (5, x), (5, y), (None, x), (None, x), (None, x)]
         kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted(map(tuple, kept), key=repr) == sorted([(3, x), (5, y), (None, x)], key=repr)
+
+
+def test_order_is_that_of_all_columns():
+    rng = np.random.default_rng(5)
+    columns = tuple(rng.integers(0, k, 3000) for k in (900, 3, 2, 2, 4, 50, 9))
+    columns[0][:40] = -7
+    found = passages._order(columns)
+    ordered = np.stack([c[found] for c in columns])
+    assert (ordered == np.stack([c[np.lexsort(columns[::-1])] for c in columns])).all()
+
+
+def test_places_of_a_common_key_take_little_memory():
+    """Places that nearly agree are compared by their shingles, which no place keeps."""
+    rng = np.random.default_rng(6)
+    size, count = passages._CONTEXT, 1500
+    words = np.tile(rng.integers(1, 1 << 16, size, dtype=np.uint16), (count, 1))
+    words[np.arange(count), 20 + np.arange(count) % 18] = rng.integers(1, 1 << 16, count)
+    words[np.arange(count), 64 + np.arange(count) % 17] = rng.integers(1, 1 << 16, count)
+    columns = [np.zeros(count, np.int64), np.full(count, 400), np.arange(count), np.zeros(count, np.int64), np.full(count, 90)]
+    batch = pa.RecordBatch.from_arrays(
+        [*map(pa.array, columns), pa.array([w.tobytes() for w in words])], names=["key", "n", "doc", "ver", "at", "words"]
+    )
+    tracemalloc.start()
+    found = sum(links.num_rows for links in passages._compare(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= count - 1 and peak / count < 9_000
