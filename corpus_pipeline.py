@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.llm import bpe, mixing, passages, simhash, toxicity
+from trajecta.llm.columns import small_batches
 from trajecta.llm.queries import vocabulary
 from trajecta.session import delete_folder, scratch_dir, scratch_scope
 
@@ -68,6 +69,9 @@ STAGES = [
     ("bpe", encode_tokens),
 ]
 
+# Rows that a stage hands its Python workers at a time; an executor runs several of them beside a full heap.
+BATCH_ROWS = 1000
+
 # Three of the stages are beyond SQL; the tests hold them against brute-force versions.
 ORACLE_SQL = None
 
@@ -82,7 +86,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = None
     for name, stage in STAGES:
         path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        with scratch_scope(spark):
+        with scratch_scope(spark), small_batches(spark, BATCH_ROWS):
             result = stage(spark, docs, sf_dir)
             result.write.parquet(path)
         docs = spark.read.schema(result.schema).parquet(path)

@@ -48,3 +48,16 @@ def test_a_failing_stage_leaves_what_it_read(spark, tmp_path, scratch, monkeypat
     with pytest.raises(RuntimeError, match="lost"):
         _run(spark, tmp_path, awkward(spark), [(1, 1, 0)])
     assert [n.split("-")[0] for n in os.listdir(scratch)] == ["toxicity"]
+
+
+def test_stages_hand_on_few_rows_at_a_time(spark, tmp_path, scratch, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+
+    def watched(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(name)))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", watched), ("two", watched)])
+    assert _run(spark, tmp_path, awkward(spark), []).count() == awkward(spark).count()
+    assert seen == [corpus_pipeline.BATCH_ROWS] * 2 and spark.conf.get(name) == before
