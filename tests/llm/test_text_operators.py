@@ -1,11 +1,13 @@
 """Tokenization, mixing, rollups, search, neighbours and the pipeline."""
 
+import gc
 import hashlib
 import math
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +54,24 @@ def test_marks_newer_than_the_library_stay_in_place(encoder, library):
     assert agrees(encoder, library, "\U00011935\U00011930")
 
 
+def test_a_task_leaves_no_encoder_in_its_worker():
+    def encoders():
+        gc.collect()
+        return sum(isinstance(x, bpe.Encoder) for x in gc.get_objects())
+
+    before = encoders()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["two words", None]})
+    (out,) = bpe._encode_batches(iter([batch]), vocabulary())
+    assert out.column("decoded").to_pylist() == ["two</w> words</w>", ""] and encoders() == before
+
+
+def test_a_word_that_also_stands_alone_is_kept_once():
+    encoder = bpe.Encoder(vocabulary())
+    encoder.encode("word word, word")
+    kept = [key for cache in vars(encoder).values() if isinstance(cache, bpe._Kept) for key in cache]
+    assert sorted(kept) == [",", "word", "word,"]
+
+
 def _newer(c):
     """Unassigned in this Python's Unicode, where the library may know more."""
     import unicodedata

@@ -15,6 +15,7 @@ no longer than the list of merges.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -222,8 +223,8 @@ class Encoder:
         found = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
         self.names = {i: t.encode() for t, i in [*model["vocab"].items(), *self.special.items()]}
-        self.words = _Kept(self._encode_word, _MOST_WORDS)
-        self.chunks = _Kept(self._encode_chunk, _MOST_WORDS)  # what stands between two white spaces
+        # Words, and what stands between two white spaces: a word that stands alone is kept once.
+        self.chunks = _Kept(self._encode_chunk, _MOST_WORDS)
 
     def _encode_word(self, word: str) -> bytes:
         symbols = "".join(map(self.symbols.__getitem__, word.encode())) + self.end
@@ -231,7 +232,7 @@ class Encoder:
 
     def _encode_chunk(self, chunk: str) -> bytes:
         found = _WORDS.findall(chunk)
-        return self.words[chunk] if found == [chunk] else b"".join(map(self.words.__getitem__, found))
+        return self._encode_word(chunk) if found == [chunk] else b"".join(map(self.chunks.__getitem__, found))
 
     def _plain(self, text: str) -> bytes:
         text = _composed(text).replace("Σ", "σ").lower()  # Σ lowers alike everywhere
@@ -254,33 +255,37 @@ class Encoder:
         return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_compiled: dict[str, Encoder] = {}  # of this worker
+def _give_back() -> None:
+    """Hand memory that is no longer used back to the system.
 
-
-def _encoder(definition: str) -> Encoder:
-    if definition not in _compiled:
-        _compiled.clear()
-        _compiled[definition] = Encoder(definition)
-    return _compiled[definition]
+    A worker outlives its task, and those of earlier stages stand idle beside the ones at work.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], definition: str) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(definition)
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        start, held, ids, decoded = 0, 0, [], []
-        for i in range(len(texts)):
-            text = texts[i].as_py()
-            ids.append(encoder.encode(text))
-            decoded.append(encoder.decode(ids[-1]))
-            held += len(text or "")
-            if held >= _YIELD_BYTES or i + 1 == len(texts):
-                columns = batch.slice(start, i + 1 - start).columns[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())],
-                    names=[*batch.schema.names[:-1], "ids", "decoded"],
-                )
-                start, held, ids, decoded = i + 1, 0, [], []
+    _give_back()
+    encoder = Encoder(definition)
+    try:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            start, held, ids, decoded = 0, 0, [], []
+            for i in range(len(texts)):
+                text = texts[i].as_py()
+                ids.append(encoder.encode(text))
+                decoded.append(encoder.decode(ids[-1]))
+                held += len(text or "")
+                if held >= _YIELD_BYTES or i + 1 == len(texts):
+                    columns = batch.slice(start, i + 1 - start).columns[:-1]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())],
+                        names=[*batch.schema.names[:-1], "ids", "decoded"],
+                    )
+                    start, held, ids, decoded = i + 1, 0, [], []
+    finally:
+        del encoder
+        _give_back()
 
 
 def encode(docs: DataFrame, definition: str) -> DataFrame:
@@ -292,7 +297,7 @@ def encode(docs: DataFrame, definition: str) -> DataFrame:
     ``decoded`` the text that the ids decode to, special tokens included.  A null or blank text
     has no tokens and decodes to the empty text; ids and texts of repeated rows repeat; other
     columns are ignored.  Texts of any length are encoded whole, a few at a time; nothing is
-    shuffled.  The definition goes to the tasks, and each worker compiles it once.
+    shuffled.  The definition goes to the tasks; each compiles it once and leaves nothing of it in its worker.
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     schema = "doc_id long, ids binary, decoded string"
