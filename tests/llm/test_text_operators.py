@@ -65,6 +65,27 @@ def test_a_task_leaves_no_encoder_in_its_worker():
     assert out.column("decoded").to_pylist() == ["two</w> words</w>", ""] and encoders() == before
 
 
+def test_labels_that_no_other_continues_need_no_node_of_the_tree():
+    vocab = {text: i for i, text in enumerate(("a", "b", "c</w>", "ab", "abc</w>"))}
+    automaton = bpe.Automaton(vocab, [("a", "b"), ("ab", "c</w>")], "</w>")
+    assert automaton.trie == {"a": {"": 0, "b": {"": 3, "c": {bpe._END: 4}}}, "b": 1, "c": {bpe._END: 2}}
+    assert automaton.encode("abc" + bpe._END) == [4] and automaton.encode("bab") == [1, 3]
+
+
+def test_words_and_marks_below_the_supplement_are_found_by_smaller_classes():
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]):
+        text = f"a{c}{c}'s{c}1'"
+        assert bpe._LOW_WORDS.findall(text) == bpe._WORDS.findall(text)
+        assert bool(bpe._LOW_NEWER.search(c)) == bool(bpe._NEWER.search(c))
+    assert len(bpe._LOW_WORDS.pattern) < 0.7 * len(bpe._WORDS.pattern)
+
+
+def test_words_above_the_supplement_agree_with_the_library(encoder, library):
+    for text in ("a\U00010400b", "\U0001d7ce1", "it's\U0001f600's", "\U00011935\U00011930x", "'S 'll'x \U00020000\u1abf\u1bf2"):
+        assert agrees(encoder, library, text)
+    assert agrees(encoder, library, "\u1bf2\u1abf")
+
+
 def test_a_word_that_also_stands_alone_is_kept_once():
     encoder = bpe.Encoder(vocabulary())
     encoder.encode("word word, word")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -53,9 +54,6 @@ class Automaton:
         self.right = [-1] * size
         self.removed: dict[int, int] = {}  # (state, label) -> gadget that took the arc away
         self._known: dict[int, bool] = {}
-        self.base_length = [0] * size
-        for text, i in vocab.items():
-            self.base_length[i] = len(self._symbols(text, end))
         dead = set()
         for k, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
@@ -64,13 +62,18 @@ class Automaton:
                 continue
             self.born[w], self.left[w], self.right[w] = k, u, v
             self.removed[u << 32 | v] = k
+        live = {self._symbols(text, end): i for text, i in vocab.items() if text and i not in dead}
+        inner = {symbols[:k] for symbols in live for k in range(len(symbols))}
+        # A label that no other one continues is its number alone, which keeps the tree small.
         self.trie: dict = {}
-        for text, i in vocab.items():
-            if i not in dead:
-                node = self.trie
-                for symbol in self._symbols(text, end):
-                    node = node.setdefault(symbol, {})
-                node[""] = i
+        for symbols, i in live.items():
+            node = self.trie
+            for symbol in symbols[:-1]:
+                node = node.setdefault(symbol, {})
+            if symbols in inner:
+                node.setdefault(symbols[-1], {})[""] = i
+            else:
+                node[symbols[-1]] = i
 
     @staticmethod
     def _symbols(text: str, end: str) -> str:
@@ -112,50 +115,55 @@ class Automaton:
         path only, a place that led nowhere is not entered again.
         """
         n = len(symbols)
+        known = self._known
         path: list[int] = []
-        state = START
-        open_arcs = [self._labels_from(symbols, 0)]
-        blocked = set()
-        at = 0
+        places: list[int] = []  # where each label of the path begins
+        open_arcs: list[list[int]] = []  # what is left to try at each of these places
+        blocked: set[int] = set()
+        at, state = 0, START
+        arcs = self._labels_from(symbols, 0)
         while at < n:
-            arcs = open_arcs[-1]
             while arcs:
-                to, label = arcs.pop()
-                if to not in blocked and self.has_arc(state, label):
+                label, to = arcs.pop(), arcs.pop()
+                if to in blocked:
+                    continue
+                may = state == START or known.get(state << 32 | label)
+                if may is None:
+                    may = self.has_arc(state, label)
+                if may:
+                    open_arcs.append(arcs)
+                    places.append(at)
                     path.append(label)
                     at, state = to, label
-                    open_arcs.append(self._labels_from(symbols, at))
+                    if at < n:
+                        arcs = self._labels_from(symbols, at)
                     break
             else:
                 blocked.add(at)
-                open_arcs.pop()
-                if not open_arcs:
+                if not path:
                     raise ValueError(f"no token sequence for {symbols!r}")
-                at -= self._length(path.pop())
+                arcs, at = open_arcs.pop(), places.pop()
+                path.pop()
                 state = path[-1] if path else START
         return path
 
-    def _labels_from(self, symbols: str, at: int) -> list[tuple[int, int]]:
-        """Labels that match from ``at`` with the place they reach, shortest first."""
+    def _labels_from(self, symbols: str, at: int) -> list[int]:
+        """The place each matching label reaches from ``at`` and the label, in turn, shortest first."""
         found, node = [], self.trie
-        for to in range(at, len(symbols)):
-            node = node.get(symbols[to])
+        for to, symbol in enumerate(symbols[at:], at + 1):
+            node = node.get(symbol)
             if node is None:
                 break
-            if "" in node:
-                found.append((to + 1, node[""]))
+            if node.__class__ is int:
+                found.append(to)
+                found.append(node)
+                break
+            label = node.get("")
+            if label is not None:
+                found.append(to)
+                found.append(label)
         return found
 
-    def _length(self, label: int) -> int:
-        n, stack = 0, [label]
-        while stack:
-            x = stack.pop()
-            if self.left[x] < 0:
-                n += self.base_length[x]
-            else:
-                stack += [self.left[x], self.right[x]]
-        return n
-
 
 class _Kept(dict):
     """Results by key, of which a bounded number stay; those in use outlive a turn-over."""
@@ -198,13 +206,28 @@ def _ranges(kind: str) -> str:
 
 
 _L, _N = _ranges("L"), _ranges("N")
-# Fixed values of the vocabulary: its word pattern.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACE}{_L}{_N}]+")
+
+
+def _words(letters: str, numbers: str) -> re.Pattern[str]:
+    """Fixed values of the vocabulary: its word pattern, letters first, which begin no other branch."""
+    return re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{_SPACE}{letters}{numbers}]+")
+
+
+def _low(body: str) -> str:
+    """The part of a class's body that is below U+10000."""
+    return "".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", body) if int(r[2:10], 16) < 0x10000)
+
+
+_WORDS = _words(_L, _N)
+# Classes are looked up in a table up to U+FFFF and range by range beyond, for a character they lack as well.
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+_LOW_WORDS = _words(_low(_L), _low(_N))
+_LOW_NEWER = re.compile(re.sub("[\U00010000-\U0010ffff]-?", "", _NEWER.pattern))
 
 
 def _composed(text: str) -> str:
     """NFC by the library's tables."""
-    if text.isascii() or not _NEWER.search(text):
+    if text.isascii() or not (_NEWER if _HIGH.search(text) else _LOW_NEWER).search(text):
         return unicodedata.normalize("NFC", text)
     return "".join(unicodedata.normalize("NFC", part) for part in _NEWER.split(text))
 
@@ -227,11 +250,11 @@ class Encoder:
         self.chunks = _Kept(self._encode_chunk, _MOST_WORDS)
 
     def _encode_word(self, word: str) -> bytes:
-        symbols = "".join(map(self.symbols.__getitem__, word.encode())) + self.end
-        return np.array(self.automaton.encode(symbols), "<u4").tobytes()
+        path = self.automaton.encode(word.encode().decode("latin-1").translate(self.symbols) + self.end)
+        return struct.pack(f"<{len(path)}I", *path)
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        found = _WORDS.findall(chunk)
+        found = (_LOW_WORDS if chunk.isascii() or not _HIGH.search(chunk) else _WORDS).findall(chunk)
         return self._encode_word(chunk) if found == [chunk] else b"".join(map(self.chunks.__getitem__, found))
 
     def _plain(self, text: str) -> bytes:

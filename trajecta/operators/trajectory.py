@@ -8,6 +8,8 @@ one row per period, so no entity can be hot here.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,15 +71,29 @@ def profile(grid: DataFrame, keys: Sequence[str] = ENTITY, reach: int = 2) -> Da
 
     Sums stay integers and are divided once: half-peak ties are common in counts, and an
     average of rounded shares would settle them by rounding noise.
+
+    The neighbours of a row are looked up one by one: a sliding frame would sum the whole frame
+    again, from copies of its rows, for each.  All windows are taken in one pass over the rows.
     """
     in_order = Window.partitionBy(*keys).orderBy("period")
-    around = in_order.rowsBetween(-reach, reach)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.col("total")
+    names = [f"_near{i}" for i in range(2 * reach)]
+    steps = [k for k in range(-reach, reach + 1) if k]
+    looked_up = {name: F.lag("n", -k).over(in_order) for name, k in zip(names, steps)}
+    near = [F.col(c) for c in ("n", *names)]
+    around = reduce(add, [F.coalesce(c, F.lit(0).cast("long")) for c in near])
+    counted = reduce(add, [F.when(c.isNotNull(), 1).otherwise(0) for c in near])
     return (
-        grid.withColumn("share", ratio(F.col("n"), total))
-        .withColumn("smooth", ratio(F.sum("n").over(around), F.count("n").over(around) * total))
-        .withColumn("cumulative", ratio(F.sum("n").over(so_far), total))
+        grid.withColumns({**looked_up, "_so_far": F.sum("n").over(so_far)})
+        .withColumns(
+            {
+                "share": ratio(F.col("n"), total),
+                "smooth": ratio(around, counted * total),
+                "cumulative": ratio(F.col("_so_far"), total),
+            }
+        )
+        .drop("_so_far", *names)
     )
 
 
