@@ -124,3 +124,22 @@ def test_peak_takes_the_earliest_on_a_tie(spark):
     rows = [("a", 3, 0.5), ("a", 1, 0.5), ("a", 2, 0.4)]
     profiles = spark.createDataFrame(rows, "entity string, period int, smooth double")
     assert trajectory.peaks(profiles, KEYS).first()["peak_period"] == 1
+
+
+def test_a_profile_takes_its_windows_in_one_pass_without_a_sliding_frame(spark, capsys):
+    counts = {1: [3, 0, None, 5, 2, 7], 2: [None, None, None, None], 3: [4]}
+    rows = [(e, p, n, 10) for e, ns in counts.items() for p, n in enumerate(ns)]
+    grid = spark.createDataFrame(rows, "entity_id int, period int, n long, total long")
+    for reach in (1, 2):
+        found = trajectory.profile(grid, reach=reach)
+        found.explain("formatted")
+        plan = capsys.readouterr().out
+        assert plan.count("+- Window") == 1 and f"RowFrame, -{reach}, {reach})" not in plan
+        assert found.columns == ["entity_id", "period", "n", "total", "share", "smooth", "cumulative"]
+        for row in found.collect():
+            ns = counts[row["entity_id"]]
+            at = row["period"]
+            near = [n for n in ns[max(0, at - reach) : at + reach + 1] if n is not None]
+            before = [n for n in ns[: at + 1] if n is not None]
+            assert row["smooth"] == (sum(near) / (len(near) * 10) if near else None)
+            assert row["cumulative"] == (sum(before) / 10 if before else None)
