@@ -253,6 +253,40 @@ def test_shorter_quotes_do_not_hide_a_repeat(spark):
         assert {r.doc_id: (r.start, r.end, r.match_doc_id) for r in found} == want and len(found) == len(want)
 
 
+def put_in(k):
+    """Two runs under fifty words, with words put in between."""
+    a, b, new = fresh(f"p{k}-", 45), fresh(f"q{k}-", 45 + k % 4), fresh(f"new{k}-", 8 + k % 4)
+    return [fresh(f"a{k}-", 40) + a + b + fresh(f"b{k}-", 50), fresh(f"c{k}-", 80) + a + new + b + fresh(f"d{k}-", 90)], a + new + b
+
+
+def beyond(k):
+    """The first place differs and then agrees for five words; the second one agrees all along."""
+    x, more = fresh(f"x{k}-", 55 + k % 10), fresh(f"t{k}-", 15 + k % 6)
+    first = x + fresh(f"r{k}-", 7) + more[7:12] + fresh(f"s{k}-", 20)
+    return [first, fresh(f"u{k}-", 60) + x + more + fresh(f"v{k}-", 40), fresh(f"w{k}-", 90) + x + more + fresh(f"z{k}-", 80)], x + more
+
+
+def overlapping(k):
+    """Two earlier texts hold a part each, and both the words in the middle."""
+    x = fresh(f"x{k}-", 85 + k % 15)
+    first, second = fresh(f"a{k}-", 10) + x[:75] + fresh(f"b{k}-", 30), fresh(f"c{k}-", 50) + x[25 - k % 10 :] + fresh(f"d{k}-", 80)
+    return [first, second, fresh(f"e{k}-", 120) + x + fresh(f"f{k}-", 120)], x
+
+
+@pytest.mark.parametrize("case", [put_in, beyond, overlapping])
+def test_all_words_of_passages_are_held(spark, case):
+    rows, want = [], {}
+    for k in range(30):
+        texts, passage = case(k)
+        rows += [(10 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+        at = texts[-1].index(passage[0])
+        want[10 * k + len(texts) - 1] = set(range(at, at + len(passage)))
+    covered = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered[r.doc_id].update(range(r.start, r.end))
+    assert all(places <= covered[d] for d, places in want.items())
+
+
 @pytest.mark.parametrize("edit", ["replaced", "inserted", "apart"])
 def test_larger_differences_are_verified(edit):
     a = np.random.default_rng(3).integers(1, 2**63, 96).astype(np.uint64)
