@@ -3,6 +3,7 @@
 import gc
 import hashlib
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -278,6 +279,35 @@ def test_search_of_awkward_documents(spark):
     assert search.top_k(awkward(spark, True), F.lit(True)).count() == 0
 
 
+def shuffled_bytes(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = (blocks.apply(i) for i in range(blocks.size()))
+    return sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+
+def test_texts_are_not_copied_for_each_block_of_queries(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = table.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled_bytes(spark)
+    found = search.top_k(table, F.col("doc_id") % 5 == 0, 7, 6_000, 2)
+    assert found.count() > 0
+    for _ in range(50):  # they are deleted beside other work
+        left = shuffled_bytes(spark) - before
+        if left < size / 2:
+            break
+        time.sleep(0.1)
+    assert left < size / 2
+
+
+def test_numbers_are_packed_in_the_least_type():
+    for values in ([], [0, 255], [0, 256], [-1, 70_000], [2**40]):
+        array = np.array(values, np.int64)
+        back = search._unpacked(pa.scalar(search._packed(array), pa.binary()))
+        assert back.tolist() == values and back.itemsize <= array.itemsize
+    hashes = np.array([1, 2**64 - 1], np.uint64)
+    assert search._unpacked(pa.scalar(search._packed(hashes), pa.binary())).dtype == np.uint64
+
+
 def exact_neighbours(vectors, queries, k):
     out = {}
     for q in queries:
